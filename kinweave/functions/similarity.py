@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from kinweave.session import ship_functions
+
+ship_functions(__name__)
 
 # Fixed values of the measure.
 PREFIX_WEIGHT, PREFIX_LENGTH, BOOST_FROM = 0.1, 4, 0.7
@@ -40,7 +45,7 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * PREFIX_WEIGHT * (1 - jaro)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 
@@ -53,6 +58,6 @@ def segments_agree(a: str, b: str, least: float = 0.8) -> bool:
     return jaro_winkler(x[0], y[0]) >= least and jaro_winkler(x[1], y[1]) >= least
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def segment_compatible(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([segments_agree(x, y) for x, y in zip(a, b)], dtype="bool")

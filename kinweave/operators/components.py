@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.skew import HOT_ROWS, lookup
-from kinweave.session import settle
+from kinweave.session import settle, ship_functions
+
+ship_functions(__name__)
 
 SMALL_GRAPH = 200_000
 

@@ -22,6 +22,9 @@ from kinweave.functions.similarity import (
 from kinweave.operators.components import connected_components
 from kinweave.operators.skew import lookup
 from kinweave.schemas import Logs
+from kinweave.session import ship_functions
+
+ship_functions(__name__)
 
 # Fixed value: letters from rare to frequent; any fixed order gives the same pairs.
 RARE_FIRST = "QXZJKVUYWIFONHEGLTPRDBCSAMzqxjkvbpygfwmucldrhsnioate "

@@ -168,7 +168,7 @@ def nation_groups(spark, sf):
 
 
 @query("rollup_projects", """
-SELECT coalesce(lower(r_name), 'other') AS project, CAST(count(*) AS BIGINT) AS n, CAST(sum(c_custkey) AS BIGINT) AS key_sum
+SELECT coalesce(replace(lower(r_name), ' ', '-'), 'other') AS project, CAST(count(*) AS BIGINT) AS n, CAST(sum(c_custkey) AS BIGINT) AS key_sum
 FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey < 20
 LEFT JOIN region ON r_regionkey = n_regionkey GROUP BY 1""")
 def rollup_projects(spark, sf):

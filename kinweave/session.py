@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_functions(module: str) -> None:
+    """Send the functions of a module along with the tasks that use them.
+
+    Executors then need no installed copy of this package.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def spark_session(app: str = "kinweave", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, skew-join splitting and UTC timestamps."""
     settings = {
