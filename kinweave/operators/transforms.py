@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.chance import draw_key, uniform
 from kinweave.operators.ordering import row_numbers
+from kinweave.session import settle
 
 KEYS = ["proj_name", "month"]
 EXTRA = ["base_project", "step"]
@@ -190,6 +191,8 @@ def jitter(panel: DataFrame, entry: float = 0.4, delta: float = 0.05, cycles: fl
 
     The fractional part of `cycles` copies that share of the projects once more.
     """
+    if not math.isclose(cycles, int(cycles)):
+        panel = settle(panel)  # counted, sampled and copied below
     source = panel if projects is None else panel.join(
         projects.select("proj_name").distinct(), "proj_name", "left_semi").select(*panel.columns)
     whole = int(cycles)
@@ -225,6 +228,7 @@ def label_counts(panel: DataFrame, status: DataFrame) -> dict[str, int]:
 
 def upsample(panel: DataFrame, train: DataFrame, status: DataFrame, seed: int = 42) -> DataFrame:
     """Jitter the training projects of the rarer label until both labels are level."""
+    panel = settle(panel)
     names = train.select(F.col("project").alias("proj_name"))
     counts = label_counts(panel.join(names, "proj_name", "left_semi"), status)
     few, many = sorted(LABELS, key=lambda l: (counts[l], LABELS.index(l)))
@@ -238,6 +242,7 @@ def upsample(panel: DataFrame, train: DataFrame, status: DataFrame, seed: int =
 
 def downsample(panel: DataFrame, status: DataFrame, max_diff: float = 0.1, seed: int = 42) -> DataFrame:
     """All projects of the rarer label and slightly more than as many of the other."""
+    panel = settle(panel)
     counts = label_counts(panel, status)
     few, many = sorted(LABELS, key=lambda l: (counts[l], LABELS.index(l)))
     if counts[few] == counts[many]:

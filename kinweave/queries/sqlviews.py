@@ -38,10 +38,14 @@ PERSONS = """persons AS (
               ELSE upper(left(p_name, 1)) || substr(p_name, 2) || 'er' END AS name, p_partkey, p_size
   FROM part)"""
 
-PREDICTIONS = """predictions AS (
-  SELECT d.doc_id, d.source AS transfer_strategy, d.lang AS model_arch,
+def predictions_sql(name: str = "predictions", cut: int = 800) -> str:
+    from kinweave.sources.views import STRATEGIES
+
+    strategy = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(STRATEGIES))
+    return f"""{name} AS (
+  SELECT d.doc_id, CASE CAST(substr(d.source, 4) AS INTEGER) % {len(STRATEGIES)} {strategy} END AS transfer_strategy, d.lang AS model_arch,
          CASE WHEN d.doc_id % 5 = 0 THEN 'all' ELSE (d.doc_id % 5) || '-months' END AS month,
-         CASE WHEN d.n_chars > 800 THEN 1 ELSE 0 END AS pred, l.quality AS target
+         CASE WHEN d.n_chars > {cut} THEN 1 ELSE 0 END AS pred, l.quality AS target
   FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
 
 

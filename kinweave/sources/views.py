@@ -104,17 +104,40 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
         project.alias("project"), name.alias("name"), "p_partkey", "p_size")
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Binary predictions with their truth: long documents are predicted good."""
+# Strategies the trial records are spread over, by number of their source.
+STRATEGIES = [
+    "Acbn^ --> Acn^^",
+    "Ecbn --> Acn",
+    "Acbn^ + Ecbn --> Acn^^",
+    "A-1-1cbn --> E-1-1cn",
+    "Ecbn^ --> Ecn^^",
+    "A-1-1cbn + E-1-1cbn^ --> E-1-1cn^^*",
+    "Acbna --> Gcn",
+    "E-1-1cbnd --> G-3-4cn",
+]
+
+
+def predictions(spark: SparkSession, sf_dir: str, cut: int = 800) -> DataFrame:
+    """Binary predictions with their truth: documents longer than `cut` are predicted good."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    number = F.substr("source", F.lit(4)).cast("int") % len(STRATEGIES)
+    step = F.col("doc_id") % 5
     return docs.join(labels, "doc_id").select(
         F.col("doc_id"),
-        F.col("source").alias("transfer_strategy"),
+        F.array(*[F.lit(x) for x in STRATEGIES])[number].alias("transfer_strategy"),
         F.col("lang").alias("model_arch"),
-        F.when(F.col("doc_id") % 5 == 0, "all")
-        .otherwise(F.concat((F.col("doc_id") % 5).cast("string"), F.lit("-months")))
-        .alias("month"),
-        (F.col("n_chars") > 800).cast("int").alias("pred"),
+        F.when(step == 0, "all").otherwise(F.concat(step.cast("string"), F.lit("-months"))).alias("month"),
+        (F.col("n_chars") > cut).cast("int").alias("pred"),
         F.col("quality").alias("target"),
     )
+
+
+def trial_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored model files: one per document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    part = lambda k: ((F.col("doc_id") * k) % 101) / F.lit(100.0)
+    return docs.select(
+        F.col("doc_id").alias("trial"), F.col("source").alias("transfer_strategy"),
+        F.col("lang").alias("model_arch"), part(7).alias("acc"), part(13).alias("f1"), part(17).alias("prec"),
+        part(29).alias("rec"), F.col("n_chars").alias("size"))
