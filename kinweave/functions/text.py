@@ -30,7 +30,9 @@ def project_name(col) -> Column:
 
 
 def file_path(col) -> Column:
-    return F.regexp_replace(col, COPIED_PREFIX, "")
+    """The pattern runs only on paths that begin like a copy note."""
+    noted = F.startswith(col, F.lit("  - copied, "))
+    return F.when(noted, F.regexp_replace(col, COPIED_PREFIX, "")).otherwise(col)
 
 
 def sender_name(col) -> Column:
@@ -42,11 +44,12 @@ def sender_name(col) -> Column:
 
 def extension(path) -> Column:
     """From the last dot of the whole path, lower-cased; empty without a dot."""
-    return F.lower(F.regexp_extract(path, r"(\.[^.]*)$", 1))
+    tail = F.concat(F.lit("."), F.lower(F.substring_index(path, ".", -1)))
+    return F.when(F.contains(path, F.lit(".")), tail).otherwise("")
 
 
 def base_name(path) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def person_key(name) -> Column:

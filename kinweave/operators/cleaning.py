@@ -118,15 +118,19 @@ def impute_message_id(social: DataFrame) -> DataFrame:
 
 def reply_guard(social: DataFrame) -> DataFrame:
     """One row: share of threads with more than one message, share of distinct replies."""
-    threads = social.groupBy("project", "month", "subject").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.avg((F.col("n") > 1).cast("double")).alias("threaded"))
+    sizes = social.groupBy("project", "month", "subject").agg(F.count(F.lit(1)).alias("n"))
+    share = F.avg((F.col("n") > 1).cast("double")).alias("threaded")
+    verdict = (
+        (F.col("threaded") > F.col("filled")) & (F.col("filled") <= 0.95)).cast("int").alias("infer")
+    if "in_reply_to" not in social.columns:  # one value, the missing one
+        one = sizes.agg(share, (1 / F.greatest(F.sum("n"), F.lit(1))).alias("filled"))
+        return one.select("threaded", "filled", verdict)
+    threads = sizes.agg(share)
     filled = social.agg(
         (F.count_distinct(F.coalesce("in_reply_to", F.lit("\0")))
          / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("filled"))
     return threads.withColumn("k", F.lit(1)).join(filled.withColumn("k", F.lit(1)), "k").select(
-        "threaded", "filled",
-        ((F.col("threaded") > F.col("filled")) & (F.col("filled") <= 0.95)).cast("int").alias("infer"),
-    )
+        "threaded", "filled", verdict)
 
 
 def infer_replies(social: DataFrame, guarded: bool = True) -> DataFrame:
@@ -136,13 +140,11 @@ def infer_replies(social: DataFrame, guarded: bool = True) -> DataFrame:
     thread may hold most of the log, so the lag runs over ordered slices
     instead of one window per thread.
     """
-    if "in_reply_to" not in social.columns:
-        social = social.withColumn("in_reply_to", F.lit(""))
     if guarded:
         verdict = reply_guard(social).first()
         if verdict is None or not verdict["infer"]:
             log.warning("reply fields kept: the threads would not say more")
-            return social
+            return social if "in_reply_to" in social.columns else social.withColumn("in_reply_to", F.lit(""))
     rows = previous(social, ["project", "subject"], ["ts", "message_id"], "message_id", "_before")
     known = F.col("subject").isNotNull() & F.col("project").isNotNull()
     reply = F.when(known & (F.col("_before") == F.col("message_id")), "").otherwise(

@@ -50,18 +50,20 @@ def _star_rounds(edges: DataFrame, group: list[str], hot_rows: int) -> DataFrame
     nodes = edges.select(*group, F.explode(F.array("src", "dst")).alias("node")).distinct()
     links = edges.where("src <> dst").select(
         *group, F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    links = settle(links)
     while True:
+        total = 2 * links.count()
         both = links.unionByName(links.select(*group, F.col("dst").alias("src"), F.col("src").alias("dst")))
         lowest = both.groupBy(*group, "src").agg(
             F.least(F.min("dst"), F.col("src")).alias("low"), F.count(F.lit(1)).alias("_n"))
         large = (
-            lookup(both, lowest, [*group, "src"], "_n", hot_rows)
+            lookup(both, lowest, [*group, "src"], "_n", hot_rows, total=total)
             .where("dst > src AND dst <> low")
             .select(*group, F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
         )
         lowest = large.groupBy(*group, "src").agg(
             F.min("dst").alias("low"), F.count(F.lit(1)).alias("_n"))
-        moved = lookup(large, lowest, [*group, "src"], "_n", hot_rows).where("dst <> low").select(
+        moved = lookup(large, lowest, [*group, "src"], "_n", hot_rows, total=total).where("dst <> low").select(
             *group, F.col("dst").alias("src"), F.col("low").alias("dst"))
         kept = lowest.select(*group, "src", F.col("low").alias("dst"))
         links = settle(moved.unionByName(kept).distinct())
@@ -75,21 +77,27 @@ def _star_rounds(edges: DataFrame, group: list[str], hot_rows: int) -> DataFrame
 
 
 def connected_components(edges: DataFrame, group: list[str], small: int = SMALL_GRAPH,
-                         hot_rows: int = HOT_ROWS) -> DataFrame:
+                         hot_rows: int = HOT_ROWS, settled: bool = False) -> DataFrame:
     """(group, node, component): the component is its lowest node.
 
     `edges` has `group`, `src`, `dst`; a node alone is given by a self loop.
+    They are read more than once; `settled` says they already are a table.
     """
-    edges = settle(edges.select(*group, "src", "dst"))
-    big = edges.groupBy(*group).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > small)
-    big = settle(big.select(*group))
+    edges = edges.select(*group, "src", "dst")
+    if not settled:
+        edges = settle(edges)
+    if edges.count() > small:  # a footer read; with fewer rows no graph can be larger
+        big = edges.groupBy(*group).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > small)
+        big = settle(big.select(*group))
+    else:
+        big = None
     types = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
     schema = ", ".join([f"{g} {types[g]}" for g in group] + ["node string", "component string"])
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         return _labels(pdf, group)
 
-    if big.isEmpty():
+    if big is None or big.isEmpty():
         return edges.groupBy(*group).applyInPandas(finish, schema)
     rest = edges.join(F.broadcast(big), group, "left_anti")
     wide = edges.join(F.broadcast(big), group, "left_semi")

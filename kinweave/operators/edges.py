@@ -43,7 +43,10 @@ def reply_pairs(social: DataFrame, cross_month: bool = False) -> DataFrame:
     message cost one row.  By default only messages of the same month are found.
     """
     keys = ["project"] if cross_month else SLICE
-    index = message_index(social, keys)
+    return _pairs(social, message_index(social, keys), keys)
+
+
+def _pairs(social: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
     message = [*SLICE, "message_id", "dev", "ts", "in_reply_to"]
     asked = (
         _people(social)
@@ -80,8 +83,28 @@ def presence_loops(social: DataFrame) -> DataFrame:
 
 
 def social_graph(social: DataFrame, cross_month: bool = False) -> DataFrame:
-    pairs = reply_pairs(social, cross_month)
-    return social_edges(pairs).unionByName(presence_loops(social))
+    """Reply edges and presence loops in one table.
+
+    A message with one reference has one earlier author at most, so its pairs
+    need no grouping by message; only messages with several take that way.
+    """
+    keys = ["project"] if cross_month else SLICE
+    index = message_index(social, keys)
+    field = F.col("in_reply_to")
+    spaced = F.contains(field, F.lit(" ")) | F.contains(field, F.lit("\n")) | F.contains(field, F.lit("\t"))
+    named = F.contains(field, F.lit("<")) & F.contains(field, F.lit(">"))
+    single = _people(social).where(named & ~spaced).select(*SLICE, "dev", field.alias("reference"))
+    single = single.join(index.drop("prev_ts"), [*keys, "reference"]).where("prev_dev <> dev").select(
+        *SLICE, "dev", "prev_dev", F.lit(1).cast("long").alias("n"))
+    several = _pairs(social.where(spaced), index, keys).select(*SLICE, "dev", "prev_dev", "n")
+    ends = F.explode(F.array(
+        F.struct(F.col("dev").alias("src"), F.col("prev_dev").alias("dst")),
+        F.struct(F.col("prev_dev").alias("src"), F.col("dev").alias("dst"))))
+    replies = single.unionByName(several).select(*SLICE, ends.alias("e"), "n").select(
+        *SLICE, "e.src", "e.dst", "n")
+    loops = _people(social).select(
+        *SLICE, F.col("dev").alias("src"), F.col("dev").alias("dst"), F.lit(0).cast("long").alias("n"))
+    return replies.unionByName(loops).groupBy(*SLICE, "src", "dst").agg(F.sum("n").alias("weight"))
 
 
 def interaction_map(pairs: DataFrame) -> DataFrame:

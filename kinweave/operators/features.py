@@ -54,7 +54,7 @@ def social_features(edges: DataFrame) -> DataFrame:
         F.when(n > 1, F.col("e") / (n * (n - 1))).otherwise(F.lit(0.0)).alias("s_graph_density"))
 
 
-def node_triangles(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def node_triangles(edges: DataFrame, hot_rows: int = HOT_ROWS, total: int | None = None) -> DataFrame:
     """Degree and triangles of every node that has a neighbour.
 
     Edges point from the lower to the higher (degree, name), which keeps each
@@ -68,7 +68,7 @@ def node_triangles(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
         F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x")).select(*SLICE, "x.u", "x.v")
     degree = both.groupBy(*SLICE, "u").agg(F.count(F.lit(1)).alias("_n")).withColumn("k", F.col("_n"))
-    known = lookup(both, degree, [*SLICE, "u"], "_n", hot_rows)
+    known = lookup(both, degree, [*SLICE, "u"], "_n", hot_rows, total=total)
     first = F.col("u") < F.col("v")
     sized = known.groupBy(*SLICE, F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(
         F.max(F.when(first, F.col("k"))).alias("ka"), F.max(F.when(~first, F.col("k"))).alias("kb"))
@@ -88,19 +88,23 @@ def node_triangles(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         F.coalesce("t", F.lit(0)).alias("triangles"))
 
 
-def clustering(edges: DataFrame, nodes: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Mean local clustering; every edge runs both ways, so the undirected form holds."""
+def clustering(edges: DataFrame, nodes: DataFrame | None = None, hot_rows: int = HOT_ROWS,
+               total: int | None = None) -> DataFrame:
+    """Mean local clustering; every edge runs both ways, so the undirected form holds.
+
+    `total` is the number of edge rows where it is known.
+    """
     k = F.col("degree")
     local = F.when(k > 1, 2 * F.col("triangles") / (k * (k - 1))).otherwise(F.lit(0.0))
-    sums = node_triangles(edges, hot_rows).groupBy(*SLICE).agg(F.sum(local).alias("c"))
+    sums = node_triangles(edges, hot_rows, total).groupBy(*SLICE).agg(F.sum(local).alias("c"))
     nodes = social_features(edges) if nodes is None else nodes
     return nodes.join(sums, SLICE, "left").select(
         *SLICE, (F.coalesce("c", F.lit(0.0)) / F.col("s_num_nodes")).alias("s_avg_clustering_coef"))
 
 
-def components(edges: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+def components(edges: DataFrame, small: int = SMALL_GRAPH, settled: bool = False) -> DataFrame:
     """Number of undirected components and size of the largest."""
-    labels = connected_components(edges, SLICE, small)
+    labels = connected_components(edges, SLICE, small, settled=settled)
     sizes = labels.groupBy(*SLICE, "component").agg(F.count(F.lit(1)).alias("n"))
     return sizes.groupBy(*SLICE).agg(
         F.count(F.lit(1)).alias("s_num_component"), F.max("n").alias("s_largest_component"))

@@ -35,13 +35,13 @@ def densify(rows: DataFrame, lengths: DataFrame, columns: list[str] | None = Non
 
 
 def stack_features(tech: DataFrame, social: DataFrame) -> DataFrame:
-    """All feature tables of the two graphs below each other, one row per table and month."""
+    """All feature tables of the two (settled) graphs as one row per month."""
     nodes = features.social_features(social)
     parts = [
         features.tech_features(tech),
         nodes,
-        features.clustering(social, nodes),
-        features.components(social),
+        features.clustering(social, nodes, total=social.count()),
+        features.components(social, settled=True),
         features.overlap(tech, ["file", "dev"], "t_net_overlap"),
         features.overlap(social, ["src", "dst"], "s_net_overlap"),
         features.shared_devs(tech, social),
@@ -71,6 +71,21 @@ def _authored(log: DataFrame) -> DataFrame:
     return log.withColumns(extra)
 
 
+def _span(tech: DataFrame, social: DataFrame, known: DataFrame | None) -> DataFrame:
+    """First and last calendar month of each project, one pass over each log."""
+    month = cleaning.month_index("ts")
+    ends = lambda df, name: df.groupBy("project").agg(
+        F.min(month).alias(name), F.max(month).alias("_last"))
+    both = ends(tech, "_t").unionByName(ends(social, "_s"), allowMissingColumns=True)
+    span = both.groupBy("project").agg(
+        F.coalesce(F.min("_t"), F.min("_s")).alias("_start"), F.max("_last").alias("_last"))
+    if known is None:
+        return span
+    old = known.select("project", cleaning.month_index("start").alias("_known"))
+    return span.join(old, "project", "left").select(
+        "project", F.coalesce("_known", "_start").alias("_start"), "_last")
+
+
 def panel_from_logs(logs: Logs, extensions: list[str] | None = None,
                     known_starts: DataFrame | None = None) -> DataFrame:
     """Panel straight from the raw logs.
@@ -81,12 +96,7 @@ def panel_from_logs(logs: Logs, extensions: list[str] | None = None,
     """
     tech = _authored(cleaning.clean_source_files(cleaning.clean_file_paths(logs.tech), extensions))
     social = cleaning.infer_replies(_authored(logs.social))
-    starts = cleaning.project_starts(logs, known_starts).select(
-        "project", cleaning.month_index("start").alias("_start"))
-    last = tech.groupBy("project").agg(F.max("month").alias("_last")).unionByName(
-        social.groupBy("project").agg(F.max("month").alias("_last"))
-    ).groupBy("project").agg(F.max("_last").alias("_last"))
-    span = settle(starts.join(last, "project"))
+    span = settle(_span(tech, logs.social, known_starts))
     t_edges = settle(edges.tech_edges(tech))
     s_edges = settle(edges.social_graph(social))
     rows = stack_features(t_edges, s_edges).join(span.select("project", "_start"), "project")

@@ -15,14 +15,20 @@ def lookup(
     weight: str,
     hot_rows: int = HOT_ROWS,
     spread: int | None = None,
+    total: int | None = None,
 ) -> DataFrame:
     """Left join of `rows` to `table`, which has one row per key of `on`.
 
+    With a known `total` of rows up to `hot_rows` no key can be hot, and a plain
+    join does.
+
     `table[weight]` is the number of rows `rows` has for that key.  Keys above
     `hot_rows` are at most `len(rows) / hot_rows` in number, so that part is
     broadcast; its rows carry a salt and so are spread over many tasks.  All
     other keys meet in an ordinary shuffle join.
     """
+    if total is not None and total <= hot_rows:
+        return rows.join(table.drop(weight), on, "left")
     spread = spread or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = [c for c in table.columns if c not in on and c != weight]
     payload = F.struct(*values)

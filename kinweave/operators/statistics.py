@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinweave.operators.ordering import running_sum
 from kinweave.operators.transforms import feature_columns
+from kinweave.session import settle
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -56,7 +57,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataF
 def describe(panel: DataFrame, outlier: float | None = None) -> DataFrame:
     """The same statistics over all rows; values above the (1 - outlier) quantile left out."""
     cols = feature_columns(panel)
-    rows = panel.select(*cols)
+    rows = settle(panel.select(*cols))  # read by the plain statistics and by the quantiles
     if outlier is not None:
         limits = {r["feature"]: r["value"] for r in exact_quantiles(rows, cols, [1 - outlier]).collect()}
         rows = rows.select(*[F.when(F.col(c) <= limits[c], F.col(c)).alias(c) for c in cols if c in limits])

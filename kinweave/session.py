@@ -27,6 +27,8 @@ def spark_session(app: str = "kinweave", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # A job has more stages than the default cache holds generated classes.
+        "spark.sql.codegen.cache.maxEntries": "2000",
         **conf,
     }
     builder = SparkSession.builder.appName(app)
@@ -62,6 +64,11 @@ def work_path(spark: SparkSession, label: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and go on from the files (survives lost executors)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write `df` as a table in the shared folder and go on from there.
+
+    The plan starts anew at the files, so it survives lost executors; readers
+    prune columns, and Catalyst knows the size when it plans a join.
+    """
+    path = work_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
