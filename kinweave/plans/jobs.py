@@ -19,7 +19,7 @@ def canonical(logs: Logs) -> Logs:
     social = logs.social.select(
         F.col("project_name").alias("project"), F.col("date").cast("timestamp_ntz").alias("ts"),
         F.col("sender_name").alias("sender"), "subject",
-        F.col("comment_id").cast("string").alias("message_id"))
+        F.col("comment_id").cast("string").alias("message_id"), "in_reply_to")
     return Logs(tech, social)
 
 

@@ -62,11 +62,6 @@ def src_all_incubators(spark, sf):
     return counted(many, ["incubator"])
 
 
-def project_csvs(rows, path, header: bool):
-    """One folder-level CSV file set per project, flattened by the file name pattern."""
-    rows.write.partitionBy("proj").option("header", header).option("escape", '"').csv(path)
-
-
 @query("src_tech_dir", with_ctes(TECH) + """
 SELECT replace(project, 'proj', 'p') AS project_name, commit_id, file AS file_name, sender AS sender_name, sender AS author, 0 AS is_bot, 1 AS is_coding FROM tech_log""")
 def src_tech_dir(spark, sf):
@@ -75,13 +70,9 @@ def src_tech_dir(spark, sf):
     rows = views.tech_log(spark, sf).select(
         F.replace("project", F.lit("proj"), F.lit("p")).alias("proj"),
         F.concat(F.lit("#"), "commit_id").alias("commit_id"), "file", "sender")
-    project_csvs(rows, path, False)
-    parts = None
-    for p in [r["proj"] for r in rows.select("proj").distinct().collect()]:
-        one = logs.combine_tech(spark, f"{path}/proj={p}", ["commit_id", "file_name", "sender_name"])
-        one = one.withColumn("project_name", F.lit(p))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    rows.write.partitionBy("proj").option("header", False).option("escape", '"').csv(path)
+    folder = F.regexp_extract("_metadata.file_path", "proj=([^/]+)", 1)
+    return logs.combine_tech(spark, path, ["commit_id", "file_name", "sender_name"], project=folder)
 
 
 @query("src_social_dir", r"""

@@ -79,13 +79,14 @@ def missing_projects(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def combine_tech(spark: SparkSession, folder: str, columns: list[str],
-                 clean: tuple[str, ...] = ("commit_id", "file_name", "commit_msg")) -> DataFrame:
-    """All headerless per-project files of a folder; the file name is the project."""
+                 clean: tuple[str, ...] = ("commit_id", "file_name", "commit_msg"), project=None) -> DataFrame:
+    """All headerless files of a folder; the file name, or `project` from its path, is the project."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    rows = spark.read.csv(folder, schema=schema, header=False, escape='"')
+    rows = spark.read.csv(folder, schema=schema, header=False, escape='"', lineSep="\n")
+    ended = lambda c: F.regexp_replace(F.col(f"`{c}`"), r"\r$", "") if c == columns[-1] else F.col(f"`{c}`")
     rows = rows.select(
-        *[text.raw_lines(F.col(f"`{c}`")).alias(c) for c in columns if c != "project_name"],
-        _stem(F.col("_metadata.file_name")).alias("project_name"))
+        *[text.raw_lines(ended(c)).alias(c) for c in columns if c != "project_name"],
+        (_stem(F.col("_metadata.file_name")) if project is None else project).alias("project_name"))
     return enforce(clean_strings(rows, [c for c in clean if c in columns]), "tech")
 
 
