@@ -120,6 +120,19 @@ def vis_social(spark, sf):
     return edges.vis_social(edges.social_graph(event_rows(spark, sf)))
 
 
-@query("vis_package")
+PAGED = """rows AS (
+  SELECT project, 'tech' AS graph, month, dev AS a, split_part(file, '.', -1) AS b, CAST(sum(weight) AS BIGINT) AS weight FROM t_edge GROUP BY ALL
+  UNION ALL SELECT project, 'social', month, src, dst, weight FROM e_edge),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY project, graph, month ORDER BY a, b) AS rn FROM rows)"""
+
+
+@query("vis_package", with_ctes(TECH, TECH_MONTHS, T_EDGE, EVENTS, E_REPLY, E_EDGE, PAGED) + """
+SELECT project, graph, month, CAST((rn - 1) // 25 AS INTEGER) AS page,
+       CAST(count(*) OVER (PARTITION BY project, graph, month, (rn - 1) // 25) AS BIGINT) AS rows, a AS "from", b AS "to", weight FROM ranked""")
 def vis_package(spark, sf):
-    return edges.vis_package(edges.tech_edges(tech_rows(spark, sf)), edges.social_graph(event_rows(spark, sf)))
+    """The pages, with their JSON read back into rows."""
+    pages = edges.vis_package(
+        edges.tech_edges(tech_rows(spark, sf)), edges.social_graph(event_rows(spark, sf)), page_rows=25)
+    cells = F.explode(F.from_json("edges", "array<struct<from:string,to:string,weight:long>>"))
+    return pages.select("project", "graph", "month", "page", "rows", cells.alias("e")).select(
+        "project", "graph", "month", "page", "rows", "e.from", "e.to", "e.weight")

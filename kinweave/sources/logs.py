@@ -68,14 +68,18 @@ def _stem(path) -> F.Column:
 
 
 def project_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Projects that have a file in the folder, empty files included."""
+    """Projects that have a file in the folder.
+
+    Scans never see files of no bytes at all; where those matter, take the
+    expected projects from a status table instead.
+    """
     files = spark.read.format("binaryFile").load(folder).select("path", "length")
     return files.select(F.url_decode(_stem(F.col("path"))).alias("project_name"), "length")
 
 
-def missing_projects(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Projects with a file but without rows."""
-    return files.select("project_name").join(rows.select("project_name").distinct(), "project_name", "left_anti")
+def missing_projects(rows: DataFrame, expected: DataFrame) -> DataFrame:
+    """Expected projects without rows."""
+    return expected.select("project_name").join(rows.select("project_name").distinct(), "project_name", "left_anti")
 
 
 def combine_tech(spark: SparkSession, folder: str, columns: list[str],

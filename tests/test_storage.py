@@ -12,7 +12,7 @@ from kinweave.streaming import delta, ingest
 
 def test_project_folder(spark, tmp_path, rows):
     (tmp_path / "alpha.csv").write_text('c1,"a/b#.py","fix\r_nl_more",ann\nc2,x.py,m,bob\n')
-    (tmp_path / "blank.csv").write_text("")
+    (tmp_path / "blank.csv").write_text("\n")
     out = logs.combine_tech(spark, str(tmp_path), ["commit_id", "file_name", "commit_msg", "sender_name"])
     assert rows(out, "project_name", "commit_id", "file_name", "author", "is_coding") == [
         ("alpha", "c1", "a/b.py", "ann", 1), ("alpha", "c2", "x.py", "bob", 1)]
