@@ -13,6 +13,7 @@ from kinweave.functions import text
 from kinweave.operators.ordering import previous
 from kinweave.operators.skew import lookup
 from kinweave.schemas import Logs
+from kinweave.session import settle
 
 log = logging.getLogger(__name__)
 
@@ -84,11 +85,11 @@ def impute_months(logs: Logs, strategy: str = "month", known: DataFrame | None =
     steps count from each log's own first row.
     """
     if strategy == "month":
-        starts = project_starts(logs, known)
+        starts = settle(project_starts(logs, known))
 
         def one(df: DataFrame, weight: str) -> DataFrame:
             table = starts.select("project", month_index("start").alias("_start"), weight)
-            rows = lookup(df, table, ["project"], weight)
+            rows = lookup(df, table, ["project"], weight, settled=True)
             rows = rows.withColumn("month", (month_index("ts") - F.col("_start")).cast("int"))
             return rows.drop("_start").where("month >= 0")
 
@@ -138,7 +139,8 @@ def infer_replies(social: DataFrame, guarded: bool = True) -> DataFrame:
 
     The guard keeps given replies when they say more than the threads do.  A
     thread may hold most of the log, so the lag runs over ordered slices
-    instead of one window per thread.
+    instead of one window per thread.  The log is read three times (guard, slice
+    borders, slices), so pass a settled one where it took work to make.
     """
     if guarded:
         verdict = reply_guard(social).first()
@@ -227,7 +229,7 @@ STEPS: dict[str, Callable[[Logs], Logs]] = {
     "senders": lambda logs: logs.with_social(clean_sender_names(logs.social)),
     "months": impute_months,
     "message_ids": lambda logs: logs.with_social(impute_message_id(logs.social)),
-    "replies": lambda logs: logs.with_social(infer_replies(logs.social)),
+    "replies": lambda logs: logs.with_social(infer_replies(settle(logs.social))),
     "sources": lambda logs: logs.with_tech(clean_source_files(logs.tech)),
     "bots": infer_bots,
     "names": passthrough_author,

@@ -60,13 +60,10 @@ def node_triangles(edges: DataFrame, hot_rows: int = HOT_ROWS, total: int | None
     Edges point from the lower to the higher (degree, name), which keeps each
     out-list below the square root of twice the edges, hub or not.  Triangles
     come from intersecting the lists at the two ends of an edge; open pairs of
-    neighbours are never formed.
+    neighbours are never formed.  `edges` holds each edge once in either
+    direction, as the social graph does.
     """
-    pairs = edges.where("src <> dst").select(
-        *SLICE, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    both = pairs.select(*SLICE, F.explode(F.array(
-        F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
-        F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("x")).select(*SLICE, "x.u", "x.v")
+    both = edges.where("src <> dst").select(*SLICE, F.col("src").alias("u"), F.col("dst").alias("v"))
     degree = both.groupBy(*SLICE, "u").agg(F.count(F.lit(1)).alias("_n")).withColumn("k", F.col("_n"))
     known = lookup(both, degree, [*SLICE, "u"], "_n", hot_rows, total=total)
     first = F.col("u") < F.col("v")
@@ -88,17 +85,21 @@ def node_triangles(edges: DataFrame, hot_rows: int = HOT_ROWS, total: int | None
         F.coalesce("t", F.lit(0)).alias("triangles"))
 
 
-def clustering(edges: DataFrame, nodes: DataFrame | None = None, hot_rows: int = HOT_ROWS,
-               total: int | None = None) -> DataFrame:
-    """Mean local clustering; every edge runs both ways, so the undirected form holds.
+def clustering_sums(edges: DataFrame, hot_rows: int = HOT_ROWS, total: int | None = None) -> DataFrame:
+    """Sum of the local clustering over the nodes of each month.
 
-    `total` is the number of edge rows where it is known.
+    Every edge runs both ways, so the undirected form holds.  `total` is the
+    number of edge rows where it is known.
     """
     k = F.col("degree")
     local = F.when(k > 1, 2 * F.col("triangles") / (k * (k - 1))).otherwise(F.lit(0.0))
-    sums = node_triangles(edges, hot_rows, total).groupBy(*SLICE).agg(F.sum(local).alias("c"))
-    nodes = social_features(edges) if nodes is None else nodes
-    return nodes.join(sums, SLICE, "left").select(
+    return node_triangles(edges, hot_rows, total).groupBy(*SLICE).agg(F.sum(local).alias("c"))
+
+
+def clustering(edges: DataFrame, hot_rows: int = HOT_ROWS, total: int | None = None) -> DataFrame:
+    """Mean local clustering."""
+    sums = clustering_sums(edges, hot_rows, total)
+    return social_features(edges).join(sums, SLICE, "left").select(
         *SLICE, (F.coalesce("c", F.lit(0.0)) / F.col("s_num_nodes")).alias("s_avg_clustering_coef"))
 
 
@@ -110,20 +111,22 @@ def components(edges: DataFrame, small: int = SMALL_GRAPH, settled: bool = False
         F.count(F.lit(1)).alias("s_num_component"), F.max("n").alias("s_largest_component"))
 
 
-def overlap(edges: DataFrame, ends: list[str], alias: str) -> DataFrame:
+def overlap(edges: DataFrame, ends: list[str], alias: str, graph: list[str] | None = None) -> DataFrame:
     """Edges shared with the month before over the edges of both months.
 
-    One window per edge (its months, few) finds the shared ones; the second
-    window runs over months of a project.
+    `edges` has one row per edge and month.  One window per edge (its months,
+    few) finds the shared ones; the second window runs over months of a project.
+    `graph` names columns that tell several graphs of a project apart.
     """
-    seen = F.lag("month").over(Window.partitionBy("project", *ends).orderBy("month"))
-    marked = edges.select(*SLICE, *ends).distinct().withColumn(
+    keys = [*(graph or []), "project"]
+    seen = F.lag("month").over(Window.partitionBy(*keys, *ends).orderBy("month"))
+    marked = edges.select(*keys, "month", *ends).withColumn(
         "_both", F.coalesce((seen == F.col("month") - 1).cast("long"), F.lit(0)))
-    sizes = marked.groupBy(*SLICE).agg(F.count(F.lit(1)).alias("_n"), F.sum("_both").alias("_i"))
-    w = Window.partitionBy("project").orderBy("month")
+    sizes = marked.groupBy(*keys, "month").agg(F.count(F.lit(1)).alias("_n"), F.sum("_both").alias("_i"))
+    w = Window.partitionBy(*keys).orderBy("month")
     before = F.when(F.lag("month").over(w) == F.col("month") - 1, F.lag("_n").over(w))
     return sizes.withColumn("_b", before).select(
-        *SLICE, F.when(F.col("_b").isNull(), F.lit(0.0)).otherwise(
+        *keys, "month", F.when(F.col("_b").isNull(), F.lit(0.0)).otherwise(
             F.col("_i") / (F.col("_n") + F.col("_b"))).alias(alias))
 
 

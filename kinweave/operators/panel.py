@@ -36,20 +36,24 @@ def densify(rows: DataFrame, lengths: DataFrame, columns: list[str] | None = Non
 
 def stack_features(tech: DataFrame, social: DataFrame) -> DataFrame:
     """All feature tables of the two (settled) graphs as one row per month."""
-    nodes = features.social_features(social)
+    both = tech.select(*SLICE, F.lit("t").alias("graph"), F.col("file").alias("a"), F.col("dev").alias("b")).unionByName(
+        social.select(*SLICE, F.lit("s").alias("graph"), F.col("src").alias("a"), F.col("dst").alias("b")))
+    shared = features.overlap(both, ["a", "b"], "x", ["graph"])
+    of = lambda g, alias: F.when(F.col("graph") == g, F.col("x")).alias(alias)
     parts = [
         features.tech_features(tech),
-        nodes,
-        features.clustering(social, nodes, total=social.count()),
+        features.social_features(social),
+        features.clustering_sums(social, total=social.count()),
         features.components(social, settled=True),
-        features.overlap(tech, ["file", "dev"], "t_net_overlap"),
-        features.overlap(social, ["src", "dst"], "s_net_overlap"),
+        shared.select(*SLICE, of("t", "t_net_overlap"), of("s", "s_net_overlap")),
         features.shared_devs(tech, social),
     ]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part, allowMissingColumns=True)
-    return rows.groupBy(*SLICE).agg(*[F.max(c).alias(c) for c in FEATURES])
+    mean = F.coalesce(F.max("c"), F.lit(0.0)) / F.max("s_num_nodes")
+    return rows.groupBy(*SLICE).agg(*[
+        (mean if c == "s_avg_clustering_coef" else F.max(c)).alias(c) for c in FEATURES])
 
 
 def in_order(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.session import settle
+
+# A key with more rows than this is hot.
 HOT_ROWS = 2_000_000
+# A lookup table of up to this many rows is broadcast whole.
+BROADCAST_ROWS = 200_000
 
 
 def lookup(
@@ -16,19 +21,25 @@ def lookup(
     hot_rows: int = HOT_ROWS,
     spread: int | None = None,
     total: int | None = None,
+    settled: bool = False,
 ) -> DataFrame:
     """Left join of `rows` to `table`, which has one row per key of `on`.
 
+    `table[weight]` is the number of rows `rows` has for that key.  The table is
+    settled and its rows counted.  A small one is broadcast, so `rows` are not
+    shuffled.  Otherwise keys above `hot_rows`, at most `len(rows) / hot_rows` of
+    them, are broadcast and their rows spread over many tasks by a salt, while
+    all other keys meet in an ordinary shuffle join.
+
     With a known `total` of rows up to `hot_rows` no key can be hot, and a plain
     join does.
-
-    `table[weight]` is the number of rows `rows` has for that key.  Keys above
-    `hot_rows` are at most `len(rows) / hot_rows` in number, so that part is
-    broadcast; its rows carry a salt and so are spread over many tasks.  All
-    other keys meet in an ordinary shuffle join.
     """
     if total is not None and total <= hot_rows:
         return rows.join(table.drop(weight), on, "left")
+    if not settled:
+        table = settle(table)
+    if table.count() <= min(BROADCAST_ROWS, hot_rows):
+        return rows.join(F.broadcast(table.drop(weight)), on, "left")
     spread = spread or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     values = [c for c in table.columns if c not in on and c != weight]
     payload = F.struct(*values)

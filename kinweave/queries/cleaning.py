@@ -7,6 +7,7 @@ from kinweave.queries.contracts import SOCIAL_MONTHS, TECH_MONTHS, numbered
 from kinweave.queries.registry import query
 from kinweave.queries.sqlviews import EVENTS, SOCIAL, STATUS, TECH, with_ctes
 from kinweave.schemas import Logs
+from kinweave.session import settle
 from kinweave.sources import views
 
 
@@ -100,7 +101,7 @@ SELECT project, month, subject, sender, message_id,
        lag(message_id) OVER (PARTITION BY project, subject ORDER BY ts, message_id) AS in_reply_to FROM social_m""")
 def infer_replies(spark, sf):
     logs = numbered(spark, sf)
-    return cleaning.infer_replies(logs.social).select(
+    return cleaning.infer_replies(settle(logs.social)).select(
         "project", "month", "subject", "sender", "message_id", "in_reply_to")
 
 

@@ -22,7 +22,7 @@ def cleaned(spark, sf) -> Logs:
     people = lambda df: df.withColumn("is_bot", F.lit(0)).withColumn("dev", F.col("sender"))
     return Logs(
         settle(people(cleaning.clean_source_files(logs.tech))),
-        settle(cleaning.infer_replies(people(logs.social))))
+        settle(cleaning.infer_replies(settle(people(logs.social)))))
 
 
 def early_panel(logs: Logs):

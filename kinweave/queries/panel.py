@@ -156,7 +156,7 @@ def f_overlap(spark, sf):
 
 def social_rows(spark, sf):
     social = numbered(spark, sf).social.withColumn("is_bot", F.lit(0)).withColumn("dev", F.col("sender"))
-    return cleaning.infer_replies(social)
+    return cleaning.infer_replies(settle(social))
 
 
 S_EDGE = """s_reply AS (
