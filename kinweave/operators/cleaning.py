@@ -164,12 +164,11 @@ def bots_report(df: DataFrame, substrings: list[str], names: list[str],
                 threshold: float = 0.05) -> DataFrame:
     """Per project and sender: name tests, share of the project's rows, verdict.
 
-    Counts are combined per sender before any project total is formed, so the
-    totals are built from one row per sender rather than from the log.
+    The log is counted once per sender; the project totals add up those counts.
     """
-    counts = df.where("sender IS NOT NULL").groupBy("project", "sender").agg(
-        F.count(F.lit(1)).alias("n"))
-    every = df.groupBy("project").agg(F.count(F.lit(1)).alias("total"))
+    sent = df.groupBy("project", "sender").agg(F.count(F.lit(1)).alias("n"))
+    counts = sent.where("sender IS NOT NULL")
+    every = sent.groupBy("project").agg(F.sum("n").alias("total"))
     low = F.lower("sender")
     part = reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in substrings], F.lit(False))
     exact = low.isin([n.lower() for n in names]) if names else F.lit(False)

@@ -48,8 +48,10 @@ def compute(tech: DataFrame, social: DataFrame, tasks: list[str], months: tuple[
     logs = Logs(*[
         df if "is_bot" in df.columns else df.withColumn("is_bot", F.lit(0)) for df in (logs.tech, logs.social)])
     t_edges, s_edges = settle(edges.tech_edges(logs.tech)), settle(edges.social_graph(logs.social))
-    lengths = settle(cleaning.project_length(logs.tech, logs.social))
-    ends = settle(contracts.infer_end(logs.tech, logs.social, months[1]))
+    last_t, last_s = [
+        settle(df.groupBy("project").agg(F.max("month").alias("month"))) for df in (logs.tech, logs.social)]
+    lengths = cleaning.project_length(last_t, last_s)
+    ends = contracts.infer_end(last_t, last_s, months[1])
     rows = settle(panel.build_panel(t_edges, s_edges, lengths))
 
     def cut(product: DataFrame, key: str = "project") -> DataFrame:
@@ -67,5 +69,8 @@ def compute(tech: DataFrame, social: DataFrame, tasks: list[str], months: tuple[
         if "forecast" in tasks:
             out["forecast"] = cut(scores)
         if "traj" in tasks:
-            out["traj"] = cut(trajectories.trajectories(scores))
+            lags = trajectories.effective_lag(scores).withColumnRenamed("project", "_p")
+            paths = trajectories.trajectories(scores)
+            late = paths.join(lags, (F.col("project") == F.col("_p")) & (F.col("month") >= F.col("lag")))
+            out["traj"] = cut(late.select(*paths.columns))
     return out

@@ -16,7 +16,6 @@ LOG_NAMES = {
     "apache": {"tech": {"1": "commits"}, "social": {"1": "emails"}},
     "github": {"tech": {"3": "commits"}, "social": {"4": "issues"}},
     "eclipse": {"tech": {"1": "commits"}, "social": {"1": "issues"}},
-    "ospos": {"tech": {"0": "commits"}, "social": {"0": "issues"}},
 }
 DEFAULT_NAMES = {"tech": "commits", "social": "issues"}
 
