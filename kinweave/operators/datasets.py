@@ -107,7 +107,7 @@ class Source:
 # Transforms by option name, in the order they are applied.
 OPTION_ORDER = [
     "feature-subset", "normalize-actdev", "normalize-minmax", "normalize-zscore", "jitter",
-    "diff", "aggregate", "interval", "proportion-interval", "lag-interval",
+    "upsample", "downsample", "diff", "aggregate", "interval", "proportion-interval", "lag-interval",
 ]
 OPTIONS = {
     "feature-subset": lambda p: feature_subset(p),
@@ -123,14 +123,18 @@ OPTIONS = {
 }
 
 
-def augment(panel: DataFrame, options) -> DataFrame:
-    """Apply the chosen transforms in their fixed order."""
-    unknown = set(options) - set(OPTIONS) - {"clean", "downsample", "upsample"}
+def augment(panel: DataFrame, options, balance: dict | None = None) -> DataFrame:
+    """Apply the chosen transforms in their fixed order.
+
+    `balance` gives the two that need labels; without it they change nothing.
+    """
+    unknown = set(options) - set(OPTION_ORDER) - {"clean"}
     if unknown:
         raise ValueError(f"unknown options: {sorted(unknown)}")
+    table = {**OPTIONS, **(balance or {})}
     for name in OPTION_ORDER:
-        if name in options:
-            panel = OPTIONS[name](panel)
+        if name in options and name in table:
+            panel = table[name](panel)
     return panel
 
 
@@ -140,15 +144,26 @@ def dataset_mix(sources: list[Source], panels: dict[str, DataFrame], statuses: d
 
     A held-out source gives the test share of its projects; a train source
     without holdout trains on all, a test source without holdout tests on all.
+    Only training projects are upsampled; a split is balanced by its own caps.
     """
     rows = None
     for s in sources:
-        panel = augment(panels[s.dataset], s.options)
-        panel = panel.drop(*[c for c in transforms.EXTRA if c in panel.columns])
-        labelled = label_projects(panel, statuses[s.dataset])
+        status, split = statuses[s.dataset], None
         if s.holdout:
-            balance = 0.1 if "downsample" in s.options else None
-            split = stratified_split(statuses[s.dataset], test_prop, seed, balance).where(F.col("part") == s.role)
+            split = stratified_split(
+                status, test_prop, seed, 0.1 if "downsample" in s.options else None
+            ).where(F.col("part") == s.role)
+        balance = {}
+        if s.role == "train":
+            train = status if split is None else split
+            balance["upsample"] = lambda p, train=train, status=status: transforms.upsample(
+                p, train.select("project"), status, seed)
+        if split is None:
+            balance["downsample"] = lambda p, status=status: transforms.downsample(p, status, seed=seed)
+        panel = augment(panels[s.dataset], s.options, balance)
+        panel = panel.drop(*[c for c in transforms.EXTRA if c in panel.columns])
+        labelled = label_projects(panel, status)
+        if split is not None:
             labelled = (
                 labelled.withColumn("project", base_name())
                 .join(split.select("project"), "project", "left_semi").drop("project"))

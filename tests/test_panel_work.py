@@ -100,6 +100,17 @@ def test_split_shares(spark):
         datasets.fixed_split(status)
 
 
+def test_mix_balances_training(spark, panel):
+    status = spark.createDataFrame([("a", "graduated"), ("b", "graduated"), ("d", "graduated"), ("c", "retired")], "project string, status string")
+    made = lambda role, *options: {r[0] for r in datasets.dataset_mix(
+        [datasets.Source(role, "x", False, options)], {"x": panel}, {"x": status}).select("proj_name").distinct().collect()}
+    assert made("train", "upsample") == {"a", "b", "c", "d", "[c]-jit-0", "[c]-jit-1"}
+    assert made("test", "upsample") == {"a", "b", "c", "d"}
+    assert len(made("train", "downsample")) == 3
+    with pytest.raises(ValueError):
+        datasets.augment(panel, ["nonsense"])
+
+
 def series(spark, values, name="s"):
     return spark.createDataFrame([(name, i, float(v)) for i, v in enumerate(values)], "project string, month int, p double")
 
