@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from kinweave.operators import cleaning, edges, panel as panel_ops
 from kinweave.plans import jobs
 from kinweave.queries.contracts import SOCIAL_MONTHS, TECH_MONTHS, incoming, numbered
-from kinweave.queries.edges import E_EDGE, E_REPLY
 from kinweave.queries.panel import PANEL_SELECT, PANEL_SQL, rounded
 from kinweave.queries.registry import query
 from kinweave.queries.sqlviews import EVENTS, SOCIAL, TECH, with_ctes

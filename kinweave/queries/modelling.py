@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from kinweave.operators import datasets, scoring, trajectories, transforms
 from kinweave.queries.registry import query
 from kinweave.queries.sqlviews import MEMBERS, STATUS, with_ctes
-from kinweave.queries.transforms import COLS, ROUND, SMALL_SQL, as_doubles, each, rounded, small_panel
+from kinweave.queries.transforms import COLS, ROUND, SMALL_SQL, each, rounded, small_panel
 from kinweave.sources import views
 
 

@@ -7,7 +7,7 @@ from kinweave.queries.contracts import SOCIAL_MONTHS, TECH_MONTHS
 from kinweave.queries.edges import T_EDGE
 from kinweave.queries.panel import rounded, tech_feature_sql
 from kinweave.queries.registry import query
-from kinweave.queries.sqlviews import MEMBERS, SOCIAL, STATUS, TECH, with_ctes
+from kinweave.queries.sqlviews import SOCIAL, TECH, with_ctes
 from kinweave.schemas import Logs
 from kinweave.sources import views
 

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from kinweave.operators import edges, features, panel
 from kinweave.schemas import PANEL_COLUMNS, Logs
