@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.skew import HOT_ROWS, lookup
-from kinweave.session import settle, ship_functions
+from kinweave.session import drop_table, settle, ship_functions
 
 ship_functions(__name__)
 
@@ -45,32 +45,53 @@ def _labels(pdf: pd.DataFrame, group: list[str]) -> pd.DataFrame:
     return out
 
 
-def _star_rounds(edges: DataFrame, group: list[str], hot_rows: int) -> DataFrame:
-    """(group, node, component) for graphs of any size."""
+def star_rounds(edges: DataFrame, group: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(group, node, component) for graphs of any size; the component is the lowest node.
+
+    The rounds end when the links are a forest of stars: every source has one
+    target and no target is a source.  Graphs that have come so far leave the
+    rounds, and the tables of past rounds are deleted.
+    """
     nodes = edges.select(*group, F.explode(F.array("src", "dst")).alias("node")).distinct()
-    links = edges.where("src <> dst").select(
-        *group, F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-    links = settle(links)
-    while True:
+    links = settle(edges.where("src <> dst").select(
+        *group, F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    done: list[DataFrame] = []
+    while not links.isEmpty():
         total = 2 * links.count()
         both = links.unionByName(links.select(*group, F.col("dst").alias("src"), F.col("src").alias("dst")))
         lowest = both.groupBy(*group, "src").agg(
             F.least(F.min("dst"), F.col("src")).alias("low"), F.count(F.lit(1)).alias("_n"))
-        large = (
+        large = settle(
             lookup(both, lowest, [*group, "src"], "_n", hot_rows, total=total)
-            .where("dst > src AND dst <> low")
-            .select(*group, F.col("dst").alias("src"), F.col("low").alias("dst")).distinct()
-        )
+            .where("dst > src")
+            .select(*group, F.col("dst").alias("src"), F.col("low").alias("dst")).distinct())
         lowest = large.groupBy(*group, "src").agg(
             F.min("dst").alias("low"), F.count(F.lit(1)).alias("_n"))
         moved = lookup(large, lowest, [*group, "src"], "_n", hot_rows, total=total).where("dst <> low").select(
             *group, F.col("dst").alias("src"), F.col("low").alias("dst"))
         kept = lowest.select(*group, "src", F.col("low").alias("dst"))
-        links = settle(moved.unionByName(kept).distinct())
+        after = settle(moved.unionByName(kept).distinct())
+        drop_table(links)
+        drop_table(large)
+        links = after
         inner = links.select(*group, "src").join(
             links.select(*group, F.col("dst").alias("src")), [*group, "src"], "left_semi")
-        if inner.isEmpty():
+        forked = links.groupBy(*group, "src").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*group, "src")
+        open_nodes = inner.unionByName(forked)
+        if not group:
+            if open_nodes.isEmpty():
+                break
+            continue
+        open_groups = settle(open_nodes.select(*group).distinct())
+        if open_groups.isEmpty():
             break
+        done.append(settle(links.join(open_groups, group, "left_anti")))
+        after = settle(links.join(open_groups, group, "left_semi"))
+        drop_table(links)
+        drop_table(open_groups)
+        links = after
+    for part in done:
+        links = links.unionByName(part)
     root = links.select(*group, F.col("src").alias("node"), F.col("dst").alias("component"))
     return nodes.join(root, [*group, "node"], "left").withColumn(
         "component", F.coalesce("component", "node"))
@@ -99,7 +120,7 @@ def connected_components(edges: DataFrame, group: list[str], small: int = SMALL_
 
     if big is None or big.isEmpty():
         return edges.groupBy(*group).applyInPandas(finish, schema)
-    rest = edges.join(F.broadcast(big), group, "left_anti")
-    wide = edges.join(F.broadcast(big), group, "left_semi")
+    rest = edges.join(big, group, "left_anti")
+    wide = settle(edges.join(big, group, "left_semi"))
     return rest.groupBy(*group).applyInPandas(finish, schema).unionByName(
-        _star_rounds(wide, group, hot_rows))
+        star_rounds(wide, group, hot_rows))
