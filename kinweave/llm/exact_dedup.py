@@ -104,7 +104,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chunk: i
         if chunks is None:  # the chunks of all rows that share a fingerprint
             part = open_rows.select("_kw_id", "_kw_sha", *KEY)
             chunks = settle(
-                texts.join(part, _same("_kw_tid", "_kw_id") & (F.col("_kw_tsha") == F.col("_kw_sha")))
+                texts.join(part.hint("merge"), _same("_kw_tid", "_kw_id") & (F.col("_kw_tsha") == F.col("_kw_sha")))
                 .select("_kw_id", "_kw_sha", *KEY, F.explode(chunks_of(F.col("_kw_text"), chunk)).alias("_kw_c"))
                 .select("_kw_id", "_kw_sha", *KEY, F.col("_kw_c.no").alias("_kw_no"), F.col("_kw_c.chunk").alias("_kw_chunk")))
         reps = settle(open_rows.groupBy(*KEY).agg(rep).select(
