@@ -26,7 +26,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Code points handled at a time; a longer text is cut between words.
-SLICE = 8_000_000
+SLICE = 3_000_000
 CUT = re.compile(r"(?<=[a-zA-Z]) (?=[a-zA-Z])")
 
 
@@ -116,7 +116,7 @@ def words(parts: list[str]) -> tuple[pa.BinaryArray, np.ndarray]:
     return array, counts
 
 
-def encode_words(array: pa.BinaryArray, known: dict[bytes, bytes], encode, most: int = 500_000) -> pa.BinaryArray:
+def encode_words(array: pa.BinaryArray, known: dict[bytes, bytes], encode, most: int = 400_000) -> pa.BinaryArray:
     """The ids of every word as bytes; `encode` turns a list of distinct new words into a list of id bytes.
 
     `known` is what the process has met so far; at `most` words it starts anew.
