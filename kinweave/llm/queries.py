@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import bpe, decontamination, exact_dedup, line_dedup, simhash, token_files, toxicity, url_filter
+from kinweave.llm import (bpe, decontamination, exact_dedup, html_text, language, line_dedup, simhash, token_files, toxicity,
+                          url_filter)
 from kinweave.llm.registry import query, table
 from kinweave.session import work_path
 
@@ -106,3 +107,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.drop_frequent_lines(docs, min_docs=10, min_chars=1).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, learn=~F.expr(HELD_OUT))
+    return language.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query("op10_html_text")
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
