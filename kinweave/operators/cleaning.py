@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions import text
+from kinweave.operators import identity
 from kinweave.operators.ordering import previous
 from kinweave.operators.skew import lookup
 from kinweave.schemas import Logs
@@ -232,6 +233,7 @@ STEPS: dict[str, Callable[[Logs], Logs]] = {
     "sources": lambda logs: logs.with_tech(clean_source_files(logs.tech)),
     "bots": infer_bots,
     "names": passthrough_author,
+    "aliases": lambda logs: identity.dealias(Logs(settle(logs.tech), settle(logs.social))),
 }
 
 

@@ -25,12 +25,16 @@ def empty_log(spark, fields: dict[str, str]) -> DataFrame:
 
 
 def translate(tech: DataFrame | None, social: DataFrame | None) -> Logs:
-    """Keep and rename the known fields; one log may be absent, not both."""
-    if tech is None and social is None:
+    """Keep and rename the known fields; one log may be absent or without rows, not both."""
+    given = [df for df in (tech, social) if df is not None]
+    filled = [df for df in given if not df.isEmpty()]
+    if not filled:
         raise ValueError("both logs are empty; at least one must hold rows")
-    spark = (tech if tech is not None else social).sparkSession
-    tech = empty_log(spark, TECH_FIELDS) if tech is None else tech
-    social = empty_log(spark, SOCIAL_FIELDS) if social is None else social
+    spark = filled[0].sparkSession
+    if tech is None or not any(df is tech for df in filled):
+        tech = empty_log(spark, TECH_FIELDS)
+    if social is None or not any(df is social for df in filled):
+        social = empty_log(spark, SOCIAL_FIELDS)
     return Logs(_rename(tech, TECH_FIELDS, "technical"), _rename(social, SOCIAL_FIELDS, "social"))
 
 

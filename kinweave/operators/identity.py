@@ -2,14 +2,17 @@
 
 Pairs are looked for among the distinct name keys of a project.  A
 Jaro-Winkler score above `least` bounds the number of characters two keys must
-share from below, so two keys of lengths a <= b can only match when they agree
-on one of the few rarest characters of either (prefix filtering of set joins).
-That turns the search into an equi-join on (project, lengths, character), with
-no name left out and no all-pairs step.
+share from below: c of the a and b characters, with c known from the lengths and
+from how many first letters are equal.  In an order from rare to frequent, the
+first a - c + k and b - c + k characters of such keys share k (the k-prefix of set
+joins), so keys meet in the choices of k characters: an equi-join on (project,
+equal first letters, lengths, choice) with no name left out and no all-pairs step.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,15 +25,15 @@ from kinweave.functions.similarity import (
 from kinweave.operators.components import connected_components
 from kinweave.operators.skew import lookup
 from kinweave.schemas import Logs
-from kinweave.session import ship_functions
+from kinweave.session import settle, ship_functions
 
 ship_functions(__name__)
 
 # Fixed value: letters from rare to frequent; any fixed order gives the same pairs.
 RARE_FIRST = "QXZJKVUYWIFONHEGLTPRDBCSAMzqxjkvbpygfwmucldrhsnioate "
 
-# Largest cluster refined in one task.
-MAX_CLUSTER = 6000
+# Characters of a choice, at most, and choices of one key for a pair of lengths, about at most.
+CHOICE, CHOICES = 4, 60
 
 
 def person_universe(tech: DataFrame, social: DataFrame, source: str = "sender") -> DataFrame:
@@ -64,80 +67,99 @@ def _letters(word: Column) -> Column:
     return F.array_sort(number)
 
 
-def _shared_at_least(a: Column, b: Column, need: float) -> Column:
+def _shared(a: int, b: int, need: float) -> int:
     """Fewest characters keys of lengths a and b must share (m/a + m/b > need)."""
-    return (F.floor(F.lit(need) * a * b / (a + b) - 1e-9) + 1).cast("int")
-
-
-def _probes(keys: DataFrame, need: float, cut: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (shorter side, longer side) to be joined on project, block, lengths and character.
-
-    `cut` leading characters are known to be equal and left out of the test.
-    """
-    size = F.col("len")
-    ratio = need - 1.0
-    longer = F.transform(
-        F.sequence(size, F.greatest(F.ceil(size / F.lit(ratio)).cast("int"), size)),
-        lambda b: F.struct(size.alias("la"), b.alias("lb"), _shared_at_least(size, b, need).alias("c")))
-    shorter = F.transform(
-        F.sequence(F.greatest(F.floor(size * F.lit(ratio)).cast("int"), F.lit(1)), size),
-        lambda a: F.struct(a.alias("la"), size.alias("lb"), _shared_at_least(a, size, need).alias("c")))
-
-    def side(options: Column) -> DataFrame:
-        rows = keys.withColumn("_o", F.explode(F.filter(options, lambda o: o.c <= o.la)))
+    return math.floor(need * a * b / (a + b) - 1e-9) + 1
+
+
+def length_options(lengths: list[int], equal: int, need: float) -> list[tuple[int, int, int, int]]:
+    """(la, lb, rest, k): lengths of keys with `equal` equal first letters that can match, the
+    characters they share beside those, and how many of them a choice has."""
+    out = []
+    for x, a in enumerate(lengths):
+        if a < equal:
+            continue
+        for b in lengths[x:]:
+            shared = _shared(a, b, need)
+            if shared > a:
+                break
+            rest = max(0, shared - equal)
+            k = min(rest, CHOICE)
+            while k > 1 and math.comb(b - equal - rest + k, k) > CHOICES:
+                k -= 1
+            out.append((a, b, rest, k))
+    return out
+
+
+def _choices(letters: Column, k: Column) -> Column:
+    """Hashes of all choices of k of the letters, which stand in order; one for k = 0."""
+    def after(i: Column) -> Column:
+        return F.slice(letters, i + 2, F.size(letters))
+
+    def pick(chosen: list[Column], i: Column, left: int) -> Column:
+        rest = after(i)
+        if left == 1:
+            return F.transform(rest, lambda x: F.xxhash64(*chosen, x))
+        return F.flatten(F.transform(rest, lambda x, j: pick([*chosen, x], i + 1 + j, left - 1)))
+
+    start = F.lit(-1)
+    out = F.array(F.lit(0).cast("long"))
+    for n in range(CHOICE, 0, -1):
+        out = F.when(k == n, pick([], start, n)).otherwise(out)
+    return out
+
+
+def _candidates(keys: DataFrame, equal: int, need: float, options: DataFrame) -> DataFrame:
+    """Pairs with `equal` equal first letters (just so many, unless all that count) and enough shared characters."""
+    keys = keys.where(F.col("len") >= equal).select(
+        "project", "key", "len", F.left("key", F.lit(equal)).alias("head"),
+        _letters(F.substr("key", F.lit(equal + 1))).alias("letters"))
+
+    def side(length: str) -> DataFrame:
+        rows = keys.join(F.broadcast(options.where(F.col("equal") == equal)), F.col("len") == F.col(length))  # lengths only
         width = F.size("letters")
-        rest = F.col("_o.c") - cut
-        lead = F.when(rest <= 0, F.array(F.lit(-1))).otherwise(
-            F.slice("letters", F.lit(1), F.greatest(width - rest + 1, F.lit(0))))
-        return rows.select(
-            "project", "block", "key", "head", F.col("_o.la").alias("la"), F.col("_o.lb").alias("lb"),
-            rest.alias("rest"), "letters", lead.alias("lead"),
-        ).withColumn("letter", F.explode("lead"))
-
-    return side(longer), side(shorter)
-
-
-def _candidates(keys: DataFrame, need: float, cut: int, extra) -> DataFrame:
-    a, b = _probes(keys, need, cut)
-    a = a.select(
-        "project", "block", "la", "lb", "letter", "rest", F.col("key").alias("a"),
-        F.col("head").alias("head_a"), F.col("letters").alias("letters_a"), F.col("lead").alias("lead_a"))
-    b = b.select(
-        "project", "block", "la", "lb", "letter", F.col("key").alias("b"),
-        F.col("head").alias("head_b"), F.col("letters").alias("letters_b"), F.col("lead").alias("lead_b"))
-    joined = a.join(b, ["project", "block", "la", "lb", "letter"])
+        lead = F.slice("letters", F.lit(1), F.greatest(width - F.col("rest") + F.col("k"), F.lit(0)))
+        return rows.select("project", "head", "la", "lb", "rest", "key", "letters", F.explode(
+            F.array_distinct(_choices(lead, F.col("k")))).alias("choice"))
+
+    a = side("la").withColumnsRenamed({"key": "a", "letters": "letters_a"})
+    b = side("lb").withColumnsRenamed({"key": "b", "letters": "letters_b"}).drop("rest")
+    joined = a.join(b, ["project", "head", "la", "lb", "choice"])
     once = (F.col("la") < F.col("lb")) | (F.col("a") < F.col("b"))
-    first = F.element_at(F.array_intersect("lead_a", "lead_b"), 1) == F.col("letter")
+    more = F.lit(True) if equal == PREFIX_LENGTH else (
+        F.substr("a", F.lit(equal + 1), F.lit(1)) != F.substr("b", F.lit(equal + 1), F.lit(1))) | (F.col("la") == equal)
     enough = F.size(F.array_intersect("letters_a", "letters_b")) >= F.col("rest")
-    return joined.where(once & first & enough & extra).select(
-        "project", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return joined.where(once & more & enough).select(
+        "project", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_pairs(persons: DataFrame, least: float = 0.9) -> DataFrame:
-    """Pairs of different name keys of a project that score above `least`.
+def candidate_pairs(persons: DataFrame, least: float = 0.9) -> DataFrame:
+    """Pairs of name keys of a project that share enough characters to score above `least`.
 
-    Two cases cover every pair.  Keys with the same first four letters get the
-    full prefix bonus and are blocked on those letters; all others get at most
-    three letters of bonus and so need a higher plain score.
+    Every pair is looked for in the case of its equal first letters, 0 to 4,
+    because the score's bonus for them lowers what the rest must share.
     """
     if least < 0.82:
         raise ValueError("the letter bounds hold for thresholds of at least 0.82")
 
-    def need(prefix: int) -> float:
-        return 3 * (1 - (1 - least) / (1 - PREFIX_WEIGHT * prefix)) - 1
+    def need(equal: int) -> float:
+        return 3 * (1 - (1 - least) / (1 - PREFIX_WEIGHT * equal)) - 1
 
-    keys = (
-        normalise(persons).select("project", "key").where("key <> ''").distinct()
-        .withColumn("len", F.length("key"))
-        .withColumn("head", F.when(F.length("key") >= PREFIX_LENGTH, F.left("key", F.lit(PREFIX_LENGTH))))
-    )
-    same = keys.where("head IS NOT NULL").withColumns({
-        "block": F.col("head"), "letters": _letters(F.substr("key", F.lit(PREFIX_LENGTH + 1)))})
-    other = keys.withColumns({"block": F.lit(""), "letters": _letters(F.col("key"))})
-    differ = ~F.coalesce(F.col("head_a") == F.col("head_b"), F.lit(False))
-    found = _candidates(same, need(PREFIX_LENGTH), PREFIX_LENGTH, F.lit(True)).unionByName(
-        _candidates(other, need(PREFIX_LENGTH - 1), 0, differ))
-    scored = found.withColumn("score", similarity("a", "b")).where(F.col("score") > least)
+    keys = settle(
+        normalise(persons).select("project", "key").where("key <> ''").distinct().withColumn("len", F.length("key")))
+    lengths = sorted(r["len"] for r in keys.select("len").distinct().collect())
+    table = [(p, *o) for p in range(PREFIX_LENGTH + 1) for o in length_options(lengths, p, need(p))]
+    options = keys.sparkSession.createDataFrame(table, "equal int, la int, lb int, rest int, k int")
+    found = None
+    for equal in range(PREFIX_LENGTH + 1):
+        part = _candidates(keys, equal, need(equal), options)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def similar_pairs(persons: DataFrame, least: float = 0.9) -> DataFrame:
+    """Pairs of different name keys of a project that score above `least`."""
+    scored = candidate_pairs(persons, least).withColumn("score", similarity("a", "b")).where(F.col("score") > least)
     return scored.where(segment_compatible("a", "b"))
 
 
@@ -159,40 +181,53 @@ def alias_components(persons: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _refine(names: pd.DataFrame, least: float, sizes: tuple[int, int]) -> pd.DataFrame:
+    """Work is on distinct keys; names of one key score 1 with each other."""
     names = names.sort_values("name").reset_index(drop=True)
-    keys = names["key"].tolist()
-    n = len(keys)
-    score = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i + 1, n):
-            score[i, j] = score[j, i] = jaro_winkler(keys[i], keys[j])
-    alive = np.ones(n, dtype=bool)
-    total = score.sum(axis=1)
-    mean = total / max(n - 1, 1)
-    while alive.sum() >= 2:
-        mean = np.where(alive, total / max(alive.sum() - 1, 1), np.inf)
-        worst = int(mean.argmin())
-        if mean[worst] >= least - 1e-12:
+    keys, code, times = np.unique(names["key"].to_numpy(object).astype(str), return_inverse=True, return_counts=True)
+    known: dict[int, np.ndarray] = {}
+
+    def scores(i: int) -> np.ndarray:
+        """Scores of a key with all keys; kept for as many as fit in some hundred MB."""
+        if i not in known:
+            row = np.array([jaro_winkler(keys[i], k) for k in keys])
+            if len(known) * len(keys) > 20_000_000:
+                known.clear()
+            known[i] = row
+        return known[i]
+
+    left = [sorted(np.flatnonzero(code == i).tolist(), reverse=True) for i in range(len(keys))]
+    total = np.array([scores(i) @ times for i in range(len(keys))]) - 1.0
+    alive = len(names)
+    mean = total / max(alive - 1, 1)
+    while alive >= 2:
+        mean = np.where([bool(x) for x in left] if alive < len(names) else True, total / max(alive - 1, 1), np.inf)
+        low = mean.min()
+        if low >= least - 1e-12:
             break
-        alive[worst] = False
-        total = total - score[worst]
-    left = np.flatnonzero(alive)
+        worst = min(np.flatnonzero(mean <= low + 1e-12).tolist(), key=lambda i: left[i][-1])
+        left[worst].pop()
+        total = total - scores(worst)
+        alive -= 1
+    rest = sorted(i for x in left for i in x)
+    if not sizes[0] <= len(rest):
+        return names.iloc[[]]
     drop = set()
-    for x, i in enumerate(left):
-        for j in left[x + 1:]:
+    some = [i for i, x in enumerate(left) if x]
+    for x, i in enumerate(some):
+        for j in some[x + 1:]:
             if not segments_agree(keys[i], keys[j]):
-                drop |= {i} if mean[i] < mean[j] else {j} if mean[j] < mean[i] else {i, j}
-    kept = [i for i in left if i not in drop]
-    low, high = sizes
-    return names.iloc[kept if low <= len(kept) <= high else []]
+                gone = [i] if mean[i] < mean[j] - 1e-12 else [j] if mean[j] < mean[i] - 1e-12 else [i, j]
+                drop |= {n for g in gone for n in left[g]}
+    kept = [i for i in rest if i not in drop]
+    return names.iloc[kept if sizes[0] <= len(kept) <= sizes[1] else []]
 
 
-def refine_clusters(clusters: DataFrame, least: float = 0.9, sizes: tuple[int, int] = (2, 5),
-                    max_cluster: int = MAX_CLUSTER) -> DataFrame:
+def refine_clusters(clusters: DataFrame, least: float = 0.9, sizes: tuple[int, int] = (2, 5)) -> DataFrame:
     """Drop names that fit their cluster badly and keep clusters of a plausible size.
 
-    A cluster goes to one task only up to `max_cluster` names; the names of a
-    larger one belong to no person for certain and stay as they are.
+    Again and again the name with the lowest mean score leaves its cluster, until
+    all reach `least`; a cluster of any size goes through this, in one task of
+    memory in proportion to its names.
     """
     columns = "project string, cluster string, name string, key string"
 
@@ -200,8 +235,7 @@ def refine_clusters(clusters: DataFrame, least: float = 0.9, sizes: tuple[int, i
         return _refine(pdf, least, sizes)
 
     return (
-        clusters.where(F.col("names") <= max_cluster)
-        .select("project", "cluster", "name", "key")
+        clusters.select("project", "cluster", "name", "key")
         .groupBy("project", "cluster")
         .applyInPandas(refine, columns)
     )
@@ -238,3 +272,11 @@ def apply_aliases(logs: Logs, aliases: DataFrame, source: str = "sender") -> Log
         )
 
     return Logs(one(logs.tech), one(logs.social))
+
+
+def dealias(logs: Logs, least: float = 0.9, sizes: tuple[int, int] = (2, 5), source: str = "sender") -> Logs:
+    """The whole chain: people of both logs, similar names, clusters, refinement, one name for each person."""
+    people = settle(person_universe(logs.tech, logs.social, source))
+    clusters = alias_components(people, similar_pairs(people, least))
+    kept = settle(refine_clusters(clusters, least, sizes))
+    return apply_aliases(logs, settle(alias_map(kept)), source)

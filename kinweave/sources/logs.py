@@ -11,20 +11,26 @@ from kinweave.functions import text
 from kinweave.operators.contracts import clean_strings, enforce
 from kinweave.schemas import Logs
 
-# File name of each log by incubator and version.
+# File name of each log by incubator and version, as data folders have them.
 LOG_NAMES = {
     "apache": {"tech": {"1": "commits"}, "social": {"1": "emails"}},
     "github": {"tech": {"3": "commits"}, "social": {"4": "issues"}},
     "eclipse": {"tech": {"1": "commits"}, "social": {"1": "issues"}},
+    "ospos": {"tech": {"0": "commits"}, "social": {"0": "issues"}},
 }
 DEFAULT_NAMES = {"tech": "commits", "social": "issues"}
 
 
 def log_path(base: str, incubator: str, kind: str, version: str, ext: str = "parquet") -> str:
-    """`<base>/<incubator>_data/<name><version>.<ext>`; version 0 has no number."""
-    name = LOG_NAMES.get(incubator, {}).get(kind, {}).get(str(version), DEFAULT_NAMES[kind])
-    number = "" if str(version) == "0" else str(version)
-    return f"{base.rstrip('/')}/{incubator}_data/{name}{number}.{ext}"
+    """`<base>/<incubator>_data/<name>.<ext>` with the name that stands for the version.
+
+    A version without a name has the default name followed by the version, and
+    version 0 the default name alone.
+    """
+    name = LOG_NAMES.get(incubator, {}).get(kind, {}).get(str(version))
+    if name is None:
+        name = DEFAULT_NAMES[kind] + ("" if str(version) == "0" else str(version))
+    return f"{base.rstrip('/')}/{incubator}_data/{name}.{ext}"
 
 
 def load_logs(spark: SparkSession, base: str, incubator: str, versions: dict[str, str],
@@ -35,8 +41,8 @@ def load_logs(spark: SparkSession, base: str, incubator: str, versions: dict[str
         path = log_path(base, incubator, kind, versions[kind])
         try:
             loaded[kind] = spark.read.parquet(path)
-        except AnalysisException:
-            if not schemas:
+        except AnalysisException as error:
+            if not schemas or error.getCondition() != "PATH_NOT_FOUND":
                 raise
             source = log_path(base, incubator, kind, versions[kind], "csv")
             rows = spark.read.csv(source, schema=schemas[kind], header=True, multiLine=True, escape='"')

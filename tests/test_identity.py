@@ -81,11 +81,64 @@ def test_refine_rules(spark):
     schema = "project string, cluster string, name string, key string, names long"
     same = [("p", "a", f"ann lee {i}", "ann lee", 6) for i in range(6)]           # too many
     odd = [("p", "b", n, n, 3) for n in ("john smithson", "john smithsom", "qqqq")]  # one does not fit
-    wide = [("p", "c", n, n, 7000) for n in ("x y", "x z")]                        # beyond one task
+    wide = [("p", "c", n, n, 2) for n in ("x y", "x z")]                           # first and last words differ
     got = identity.refine_clusters(spark.createDataFrame(same + odd + wide, schema)).collect()
     assert sorted(r["name"] for r in got) == ["john smithsom", "john smithson"]
 
 
+def refine_brute(names, least=0.9, sizes=(2, 5)):
+    names = sorted(names)
+    mean = {}
+    while len(names) >= 2:
+        mean = {n: sum(jaro_winkler(k, names[m][1]) for m in range(len(names)) if m != i) / (len(names) - 1)
+                for i, (n, k) in enumerate(names)}
+        low = min(mean.values())
+        if low >= least - 1e-12:
+            break
+        worst = next(n for n, _ in names if mean[n] <= low + 1e-12)
+        names = [x for x in names if x[0] != worst]
+    drop = set()
+    for (a, x), (b, y) in itertools.combinations(names, 2):
+        if not segments_agree(x, y):
+            drop |= {a} if mean[a] < mean[b] - 1e-12 else {b} if mean[b] < mean[a] - 1e-12 else {a, b}
+    kept = [n for n, _ in names if n not in drop]
+    return kept if sizes[0] <= len(kept) <= sizes[1] else []
+
+
+def test_refine_equals_brute_force():
+    import pandas as pd
+    rng = random.Random(2)
+    for _ in range(150):
+        cluster = [(n, "".join(c for c in n if c.isalpha() or c == " ").strip()) for n in names(rng, rng.randrange(2, 14))]
+        got = identity._refine(pd.DataFrame(cluster, columns=["name", "key"]), 0.9, (2, 5))
+        assert sorted(got["name"]) == sorted(refine_brute(cluster))
+
+
+def test_no_cluster_is_too_large(spark):
+    """6100 names that leave the cluster one after the other, until two are left."""
+    rows = [("p", "a", f"{'bcdfghjklm'[i % 10] * 6} {i}", "bcdfghjklm"[i % 10] * 6, 6102) for i in range(6100)]
+    rows += [("p", "a", n, n, 6102) for n in ("john smithson", "john smithsom")]
+    got = identity.refine_clusters(spark.createDataFrame(rows, "project string, cluster string, name string, key string, names long"))
+    assert got.count() <= 5
+    two = [r for r in rows if r[3] == "bbbbbb"][:2] + [("p", "a", f"x{i}", "qqq www", 0) for i in range(1)]
+    assert identity.refine_clusters(spark.createDataFrame(two, "project string, cluster string, name string, key string, names long")).count() == 2
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_joined_rows_stay_few(spark, same):
+    """Random two-word names of one project: what meets is a small part of all pairs."""
+    rng = random.Random(4)
+    letters = "etaoinshrdlucmfwypvbgkjqxz"
+
+    def word(n):
+        return "".join(rng.choices(letters, range(27, 1, -1), k=n))
+
+    n = 3000
+    people = [("p", f"{word(6 if same else rng.randrange(3, 10))} {word(7 if same else rng.randrange(4, 11))}") for _ in range(n)]
+    pairs = identity.candidate_pairs(spark.createDataFrame(people, "project string, name string"))
+    assert pairs.count() < 0.01 * n * (n - 1) / 2
+
+
 def test_universe(spark, rows):
     tech = spark.createDataFrame(
         [("p", "ann", 0, 1), ("p", "none", 0, 1), ("p", "bot", 1, 1), ("p", "doc", 0, 0), ("q", "only", 0, 1), ("p", None, 0, 1)],
