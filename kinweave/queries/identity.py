@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.similarity import segment_compatible
 from kinweave.operators import identity
+from kinweave.operators.components import connected_components
 from kinweave.queries.registry import query
 from kinweave.queries.sqlviews import PERSONS, with_ctes
 from kinweave.schemas import Logs
+from kinweave.session import settle
 from kinweave.sources import views
 
 
@@ -86,7 +88,26 @@ def alias_components(spark, sf):
     return clusters_of(spark, sf)
 
 
-@query("refine_clusters")
+REFINED = """states AS (
+  SELECT project, cluster, l, list_transform(l, lambda x: (list_sum(list_transform(l, lambda y: jaro_winkler_similarity(x.k, y.k))) - 1)
+    / greatest(len(l) - 1, 1)) AS m
+  FROM (SELECT project, cluster, list({'n': name, 'k': key} ORDER BY name) AS l FROM clusters WHERE names > 1 GROUP BY project, cluster)
+  UNION ALL
+  SELECT project, cluster, l, list_transform(l, lambda x: (list_sum(list_transform(l, lambda y: jaro_winkler_similarity(x.k, y.k))) - 1)
+    / greatest(len(l) - 1, 1)) AS m
+  FROM (SELECT project, cluster, list_filter(l, lambda x, i: i <> list_position(m, list_min(m))) AS l
+        FROM states WHERE len(l) >= 2 AND list_min(m) < 0.9 - 1e-12)),
+fitting AS (
+  SELECT project, cluster, list_filter(l, lambda x, i: len(list_filter(l, lambda y, j:
+    len(string_split(x.k, ' ')) = 2 AND len(string_split(y.k, ' ')) = 2
+    AND (jaro_winkler_similarity(split_part(x.k, ' ', 1), split_part(y.k, ' ', 1)) < 0.8
+         OR jaro_winkler_similarity(split_part(x.k, ' ', 2), split_part(y.k, ' ', 2)) < 0.8)
+    AND m[i] <= m[j] + 1e-12)) = 0) AS l
+  FROM states WHERE len(l) < 2 OR list_min(m) >= 0.9 - 1e-12),
+refined AS (SELECT project, cluster, unnest(l).n AS name, unnest(l).k AS key FROM fitting WHERE len(l) BETWEEN 2 AND 5)"""
+
+
+@query("refine_clusters", with_ctes(PERSONS, KEYS, CLUSTERS, REFINED, recursive=True) + "SELECT project, cluster, name, key FROM refined")
 def refine_clusters(spark, sf):
     return identity.refine_clusters(clusters_of(spark, sf))
 
@@ -94,23 +115,50 @@ def refine_clusters(spark, sf):
 CANONICAL = """best AS (
   SELECT project, cluster, name, row_number() OVER (PARTITION BY project, cluster
     ORDER BY CASE WHEN len(string_split(name, ' ')) = 2 THEN 1 ELSE 0 END DESC, length(name) DESC, name DESC) AS rn
-  FROM clusters WHERE names > 1),
+  FROM refined),
 canon AS (SELECT project, cluster, array_to_string(list_transform(string_split(name, ' '),
     lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS full_name FROM best WHERE rn = 1)"""
 
 
-@query("canonical_name", with_ctes(PERSONS, KEYS, CLUSTERS, CANONICAL, recursive=True) +
+@query("canonical_name", with_ctes(PERSONS, KEYS, CLUSTERS, REFINED, CANONICAL, recursive=True) +
        "SELECT project, cluster, full_name FROM canon")
 def canonical_name(spark, sf):
-    return identity.canonical_name(clusters_of(spark, sf))
+    return identity.canonical_name(settle(identity.refine_clusters(clusters_of(spark, sf))))
 
 
-@query("apply_aliases", with_ctes(PERSONS, KEYS, CLUSTERS, CANONICAL, recursive=True) + """
-, alias AS (SELECT c.project, c.name, n.full_name FROM clusters c JOIN canon n ON n.project = c.project AND n.cluster = c.cluster WHERE c.names > 1)
+@query("apply_aliases", with_ctes(PERSONS, KEYS, CLUSTERS, REFINED, CANONICAL, recursive=True) + """
+, alias AS (SELECT c.project, c.name, n.full_name FROM refined c JOIN canon n ON n.project = c.project AND n.cluster = c.cluster)
 SELECT p.project, p.name AS sender, coalesce(a.full_name, array_to_string(list_transform(string_split(p.name, ' '),
     lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')) AS dev, CAST(count(*) AS BIGINT) AS n
 FROM persons p LEFT JOIN alias a ON a.project = p.project AND a.name = p.name
 WHERE p.p_size <> 1 AND p.p_partkey % 7 <> 0 GROUP BY ALL""")
 def apply_aliases(spark, sf):
-    logs = identity.apply_aliases(person_logs(spark, sf), identity.alias_map(clusters_of(spark, sf)))
+    logs = identity.apply_aliases(person_logs(spark, sf), identity.alias_map(settle(identity.refine_clusters(clusters_of(spark, sf)))))
     return logs.tech.groupBy("project", "sender", "dev").agg(F.count(F.lit(1)).alias("n"))
+
+
+WIDE = """persons AS (
+  SELECT CASE WHEN (c_custkey // 3) % 2 = 0 THEN 'hot' ELSE 'proj' || ((c_custkey // 3) % 11) END AS project,
+    CASE c_custkey % 3 WHEN 1 THEN w || ' ' || left(v, 6) WHEN 2 THEN left(w, 1) || w || ' ' || v ELSE w || ' ' || v END AS name
+  FROM (SELECT c_custkey, substr(d, 1, 6) AS w, substr(d, 7, 7) AS v
+        FROM (SELECT c_custkey, translate(md5(CAST(c_custkey - c_custkey % 3 AS VARCHAR)), '0123456789', 'ghijklmnop') AS d FROM customer)))"""
+
+
+@query("similar_pairs_wide", with_ctes(WIDE, KEYS) + "SELECT project, a, b, round(score, 6) AS score FROM pairs")
+def similar_pairs_wide(spark, sf):
+    return identity.similar_pairs(views.people_wide(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+CHAIN_SQL = """
+WITH o AS (SELECT o_custkey, md5(CAST(o_orderkey AS VARCHAR)) AS node, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT 'g' || (o_custkey % 7) AS project, node, min(node) OVER (PARTITION BY o_custkey) AS component FROM o WHERE n > 1"""
+
+
+@query("components_sparse", CHAIN_SQL)
+def components_sparse(spark, sf):
+    return connected_components(views.order_chains(spark, sf), ["project"])
+
+
+@query("components_sparse_rounds", CHAIN_SQL)
+def components_sparse_rounds(spark, sf):
+    return connected_components(views.order_chains(spark, sf), ["project"], small=0)

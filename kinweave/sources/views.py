@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TABLES = (
@@ -141,3 +141,26 @@ def trial_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("trial"), F.col("source").alias("transfer_strategy"),
         F.col("lang").alias("model_arch"), part(7).alias("acc"), part(13).alias("f1"), part(17).alias("prec"),
         part(29).alias("rec"), F.col("n_chars").alias("size"))
+
+
+def people_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many names as customers: three spellings for each person, half of them in one project."""
+    number = F.col("c_custkey")
+    digest = F.translate(F.md5((number - number % 3).cast("string").cast("binary")), "0123456789", "ghijklmnop")
+    first, last = F.substring(digest, 1, 6), F.substring(digest, 7, 7)
+    name = (
+        F.when(number % 3 == 1, F.concat(first, F.lit(" "), F.substring(last, 1, 6)))
+        .when(number % 3 == 2, F.concat(F.substring(first, 1, 1), first, F.lit(" "), last))
+        .otherwise(F.concat(first, F.lit(" "), last)))
+    project = F.when(F.floor(number / 3) % 2 == 0, F.lit("hot")).otherwise(_tag("proj", F.floor(number / 3) % 11))
+    return table(spark, sf_dir, "customer").select(project.alias("project"), name.alias("name"))
+
+
+def order_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long sparse graph per group: the orders of a customer in a row, under shuffled names."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    row = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    linked = orders.withColumn("after", F.lead("o_orderkey").over(row)).where("after IS NOT NULL")
+    name = lambda c: F.md5(F.col(c).cast("string").cast("binary"))
+    return linked.select(
+        _tag("g", F.col("o_custkey") % 7).alias("project"), name("o_orderkey").alias("src"), name("after").alias("dst"))
