@@ -18,7 +18,7 @@ def cached_months(cached: DataFrame, last_month: int | None = None) -> DataFrame
     return rows if last_month is None else rows.withColumn("next", F.least("next", F.lit(last_month)))
 
 
-def _since(log: DataFrame, months: DataFrame, back: int) -> DataFrame:
+def since(log: DataFrame, months: DataFrame, back: int) -> DataFrame:
     counts = log.groupBy("project").agg(F.count(F.lit(1)).alias("_n"))
     table = counts.join(months, "project", "left").select(
         "project", "_n", F.coalesce("next", F.lit(0)).alias("_next"))
@@ -27,7 +27,7 @@ def _since(log: DataFrame, months: DataFrame, back: int) -> DataFrame:
 
 def drop_late(logs: Logs, months: DataFrame) -> Logs:
     """Rows of months that are already stored are late and go."""
-    return Logs(_since(logs.tech, months, 0), _since(logs.social, months, 0))
+    return Logs(since(logs.tech, months, 0), since(logs.social, months, 0))
 
 
 def delta_panel(logs: Logs, cached: DataFrame, last_month: int | None = None) -> DataFrame:
@@ -37,11 +37,15 @@ def delta_panel(logs: Logs, cached: DataFrame, last_month: int | None = None) ->
     for the overlap of the first new one, so the result equals a full run.
     """
     months = settle(cached_months(cached, last_month))
-    logs = Logs(_since(logs.tech, months, 1), _since(logs.social, months, 1))
+    logs = Logs(since(logs.tech, months, 1), since(logs.social, months, 1))
     tech, social = settle(edges.tech_edges(logs.tech)), settle(edges.social_graph(logs.social))
     seen = logs.tech.select("project", "month").unionByName(logs.social.select("project", "month"))
     lengths = seen.groupBy("project").agg((F.max("month") + 1).cast("int").alias("months"))
-    rows = panel.build_panel(tech, social, lengths)
+    return extend_panel(panel.build_panel(tech, social, lengths), cached, months)
+
+
+def extend_panel(rows: DataFrame, cached: DataFrame, months: DataFrame) -> DataFrame:
+    """Stored months before `months.next`, computed `rows` from there on."""
     start = F.col("proj_name") == F.col("project")
     fresh = rows.join(months, start, "left").where(
         F.col("month") >= F.coalesce("next", F.lit(0))).select(*PANEL_COLUMNS)

@@ -122,3 +122,28 @@ def test_repeated_batch_changes_nothing(spark, tmp_path, rows):
     for batch, weight in ((0, 1), (1, 5), (1, 5)):
         spark.createDataFrame([("k", weight)], "k string, w int").write.mode("overwrite").parquet(f"{path}/batch={batch}")
     assert rows(ingest.latest(spark, path, ["k"])) == [("k", 5)]
+
+
+def test_logs_laid_out_by_hand(spark, tmp_path):
+    """Folders have the names of the versions, not their numbers; a damaged table is reported, not replaced."""
+    from pyspark.errors import AnalysisException
+
+    from kinweave.sources import logs
+
+    folder = tmp_path / "apache_data"
+    folder.mkdir()
+    (folder / "commits.csv").write_text("project,sender\np,ann\n")
+    (folder / "emails.csv").write_text("project,sender\np,bob\nq,eve\n")
+    schemas = {"tech": "project string, sender string", "social": "project string, sender string"}
+    both = logs.load_logs(spark, str(tmp_path), "apache", {"tech": "1", "social": "1"}, schemas)
+    assert both.tech.count() == 1 and both.social.count() == 2
+    assert (folder / "commits.parquet").is_dir() and (folder / "emails.parquet").is_dir()
+    damaged = tmp_path / "eclipse_data" / "commits.parquet"
+    damaged.mkdir(parents=True)
+    (damaged / "part-0.parquet").write_text("not a table")
+    with pytest.raises(Exception):
+        logs.load_logs(spark, str(tmp_path), "eclipse", {"tech": "1", "social": "1"}, schemas)
+    assert (damaged / "part-0.parquet").read_text() == "not a table"
+    with pytest.raises(AnalysisException):
+        logs.load_logs(spark, str(tmp_path / "none"), "apache", {"tech": "1", "social": "1"})
+    assert logs.log_path("/d", "apache", "tech", "7") == "/d/apache_data/commits7.parquet"
