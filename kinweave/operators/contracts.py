@@ -85,12 +85,7 @@ def rebase_months(df: DataFrame) -> DataFrame:
 
 def require_tech(social: DataFrame, tech: DataFrame) -> DataFrame:
     """Keep the social rows of projects that have technical rows."""
-    counts = social.groupBy("project").agg(F.count(F.lit(1)).alias("_n"))
-    kept = counts.join(tech.select("project").distinct(), "project", "left_semi")
-    table = counts.select("project", "_n").join(
-        kept.select("project", F.lit(True).alias("_kept")), "project", "left"
-    )
-    return lookup(social, table, ["project"], "_n").where("_kept").drop("_kept")
+    return social.join(tech.select("project").distinct(), "project", "left_semi")
 
 
 def missing_profile(df: DataFrame, cols: list[str] | None = None, threshold: float = 0.05) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from operator import add
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.operators.transforms import feature_columns
@@ -15,6 +19,20 @@ from kinweave.session import settle
 NOT_FEATURES = {"label", "role", "dataset"}
 
 
+@dataclass
+class LinearModel:
+    """A logistic model given by its coefficients; scored as one column expression."""
+
+    weights: dict[str, float]
+    constant: float = 0.0
+
+    def probability(self) -> Column:
+        return 1 / (1 + F.exp(-reduce(add, [F.col(c) * F.lit(w) for c, w in self.weights.items()], F.lit(self.constant))))
+
+
+Model = PipelineModel | LinearModel
+
+
 def _span(lag: int | None):
     first = Window.unboundedPreceding if lag is None else -(lag - 1)
     return Window.partitionBy("proj_name").orderBy("month").rowsBetween(first, 0)
@@ -60,17 +78,22 @@ def fit(train: DataFrame, kind: str = "logistic", lag: int | None = 12) -> Pipel
     return Pipeline(stages=stages).fit(data)
 
 
-def score_months(panel: DataFrame, model: PipelineModel, lag: int | None = 12) -> DataFrame:
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """Window features with the probability `p` and the predicted class `pred`."""
+    if isinstance(model, LinearModel):
+        return rows.withColumn("p", model.probability()).withColumn("pred", (F.col("p") >= 0.5).cast("int"))
+    return model.transform(rows).withColumns({
+        "p": vector_to_array("probability")[1], "pred": F.col("prediction").cast("int")})
+
+
+def score_months(panel: DataFrame, model: Model, lag: int | None = 12) -> DataFrame:
     """Probability of the positive class for every month of every series."""
-    scored = model.transform(window_features(panel, lag))
-    return scored.select(
-        F.col("proj_name").alias("project"), "month", vector_to_array("probability")[1].alias("p"))
+    return _scored(window_features(panel, lag), model).select(F.col("proj_name").alias("project"), "month", "p")
 
 
-def predict_labels(panel: DataFrame, model: PipelineModel, lag: int | None = None) -> DataFrame:
+def predict_labels(panel: DataFrame, model: Model, lag: int | None = None) -> DataFrame:
     """Predicted class of each labelled series at its last month, and whether it is missed."""
-    scored = model.transform(window_features(panel, lag)).select(
-        "proj_name", "month", "label", F.col("prediction").cast("int").alias("pred"))
+    scored = _scored(window_features(panel, lag), model).select("proj_name", "month", "label", "pred")
     last = scored.groupBy("proj_name").agg(
         F.max_by(F.struct("label", "pred"), "month").alias("_l"), F.max("month").alias("month"))
     return last.select(
@@ -78,7 +101,7 @@ def predict_labels(panel: DataFrame, model: PipelineModel, lag: int | None = Non
         (F.col("_l.label") != F.col("_l.pred")).cast("int").alias("missed"))
 
 
-def soft_labels(prefixes: DataFrame, model: PipelineModel, lag: int | None = None) -> DataFrame:
+def soft_labels(prefixes: DataFrame, model: Model, lag: int | None = None) -> DataFrame:
     """Replace the label of each training series by the model's probability for all of it."""
     scores = score_months(prefixes, model, lag)
     last = scores.groupBy("project").agg(F.max_by("p", "month").alias("soft_label"))

@@ -157,36 +157,57 @@ def window_features(spark, sf):
 
 
 def trained(spark, sf):
-    rows = datasets.label_projects(small_panel(spark, sf), views.status(spark, sf))
+    rows = datasets.label_projects(small_panel(spark, sf), mixed_status(spark, sf))
     return rows, scoring.fit(rows)
 
 
-@query("train_classifier")
+@query("train_classifier", with_ctes(*SMALL_SQL, STATUS, MIXED) + f"""
+SELECT count(*) AS rows, {3 * len(COLS)} AS inputs, 1 AS better FROM p JOIN mixed m ON m.project = proj_name WHERE m.status <> 'incubating'""")
 def train_classifier(spark, sf):
-    """Coefficients of the model, one row per input."""
+    """Rows and inputs of the training, and whether the model's log-loss is below that of the share of ones."""
     rows, model = trained(spark, sf)
-    names = model.stages[0].getInputCols()
-    values = [float(v) for v in model.stages[-1].coefficients]
-    return spark.createDataFrame(list(zip(names, values)), "input string, coefficient double")
+    scored = scoring.score_months(rows.drop("label"), model).join(
+        rows.select(F.col("proj_name").alias("project"), "month", "label"), ["project", "month"])
+    hit = F.when(F.col("label") == 1, F.col("p")).otherwise(1 - F.col("p"))
+    share = F.avg("label")
+    constant = -(share * F.log(share) + (1 - share) * F.log(1 - share))
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"), F.lit(len(model.stages[0].getInputCols())).alias("inputs"),
+        (-F.avg(F.log(F.greatest(hit, F.lit(1e-12)))) < constant).cast("int").alias("better"))
 
 
-@query("score_months")
+LINEAR = scoring.LinearModel(
+    {f"{c}_last": 0.01 * (i % 5 - 2) for i, c in enumerate(COLS)} | {f"{c}_mean": 0.02 * (i % 3 - 1) for i, c in enumerate(COLS)}, -0.2)
+SUM = " + ".join(
+    [f"{0.01 * (i % 5 - 2)} * {c}" for i, c in enumerate(COLS)] + [f"{0.02 * (i % 3 - 1)} * avg({c}) OVER w" for i, c in enumerate(COLS)])
+
+
+def scored_sql(table: str, name: str = "sc") -> str:
+    return f"""{name} AS (SELECT proj_name, month, 1 / (1 + exp(-({SUM} - 0.2))) AS pr
+  FROM {table} WINDOW w AS (PARTITION BY proj_name ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))"""
+
+
+@query("score_months", with_ctes(*SMALL_SQL, scored_sql("p")) + "SELECT proj_name AS project, month, round(pr, 6) AS p FROM sc")
 def score_months(spark, sf):
-    rows, model = trained(spark, sf)
-    return scoring.score_months(rows.drop("label"), model)
+    return rounded(scoring.score_months(small_panel(spark, sf), LINEAR))
 
 
-@query("predict_labels")
+@query("predict_labels", with_ctes(*SMALL_SQL, STATUS, MIXED, scored_sql("p")) + f"""
+SELECT proj_name, month, label, pred, CASE WHEN label <> pred THEN 1 ELSE 0 END AS missed
+FROM (SELECT proj_name, max(month) AS month, arg_max(CASE WHEN pr >= 0.5 THEN 1 ELSE 0 END, month) AS pred, any_value({LABEL}) AS label
+      FROM sc JOIN mixed m ON m.project = proj_name WHERE m.status <> 'incubating' GROUP BY proj_name)""")
 def predict_labels(spark, sf):
-    rows, model = trained(spark, sf)
-    return scoring.predict_labels(rows, model, 12)
+    rows = datasets.label_projects(small_panel(spark, sf), mixed_status(spark, sf))
+    return scoring.predict_labels(rows, LINEAR, 12)
 
 
-@query("soft_labels")
+@query("soft_labels", with_ctes(*SMALL_SQL, STATUS, MIXED, CUT, scored_sql("q")) + f"""
+SELECT q.proj_name, q.month, {LABEL} AS label, round(l.soft, 6) AS soft_label
+FROM q JOIN mixed m ON m.project = q.base JOIN (SELECT proj_name, arg_max(pr, month) AS soft FROM sc GROUP BY proj_name) l USING (proj_name)
+WHERE m.status <> 'incubating'""")
 def soft_labels(spark, sf):
-    rows, model = trained(spark, sf)
-    prefixes = datasets.label_projects(cut_panel(spark, sf), views.status(spark, sf))
-    return scoring.soft_labels(prefixes, model, 12).select("proj_name", "month", "label", "soft_label")
+    prefixes = datasets.label_projects(cut_panel(spark, sf), mixed_status(spark, sf))
+    return rounded(scoring.soft_labels(prefixes, LINEAR, 12).select("proj_name", "month", "label", "soft_label"))
 
 
 def forecast(spark, sf):
