@@ -16,6 +16,7 @@ from kinweave.session import spark_session
 HEADLINE = [
     "panel", "infer_replies", "f_components", "f_social_clustering", "similar_pairs",
     "interval_spaced", "trials_summary", "tech_edges", "infer_bots", "describe_overall",
+    "similar_pairs_wide", "components_sparse",
 ]
 
 
