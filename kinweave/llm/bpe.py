@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinweave.llm.worker import cached
-from kinweave.llm.words import encode_words, pieces, stream, words
+from kinweave.llm.worker import cached, sliced
+from kinweave.llm.words import SLICE, encode_words, pieces, stream, words
 from kinweave.session import ship_functions
 
 ship_functions(__name__)
@@ -135,17 +135,19 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
             tokens = [0] * n
             of_ids, of_bytes = [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
             ids: list[list[bytes]] = [[] for _ in range(n)]
-            for rows, parts in pieces(batch.column(1).to_pylist()):
-                found, before = words(parts)
-                at, data = stream(encode_words(found, known, new_words))
-                at = at[before]
-                got, back = stream(vocabulary.take(pa.array(np.frombuffer(data, "<u4")[: at[-1] // 4])))
-                for k, row in enumerate(rows):
-                    a, b = int(at[k]), int(at[k + 1])
-                    tokens[row] += (b - a) // 4
-                    of_ids[row].update(data[a:b])
-                    of_bytes[row].update(back[got[a // 4]: got[b // 4]])
-                    ids[row].append(data[a:b].tobytes())
+            for first, texts in sliced(batch.column(1), SLICE):
+                for rows, parts in pieces(texts):
+                    found, before = words(parts)
+                    at, data = stream(encode_words(found, known, new_words))
+                    at = at[before]
+                    got, back = stream(vocabulary.take(pa.array(np.frombuffer(data, "<u4")[: at[-1] // 4])))
+                    for k, row in enumerate(rows):
+                        a, b = int(at[k]), int(at[k + 1])
+                        row += first
+                        tokens[row] += (b - a) // 4
+                        of_ids[row].update(data[a:b])
+                        of_bytes[row].update(back[got[a // 4]: got[b // 4]])
+                        ids[row].append(data[a:b].tobytes())
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(tokens, pa.int64()), pa.array([h.hexdigest() for h in of_ids]),
                 pa.array([h.hexdigest() for h in of_bytes]), pa.array([b"".join(x) for x in ids], pa.binary()),

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.llm.worker import sliced
 from kinweave.session import ship_functions
 
 ship_functions(__name__)
@@ -36,6 +37,8 @@ TABLES, SAMPLED = 192, 3
 #: Ratio of the lengths of neighbouring size classes; windows of one class share their tables.
 STEP = 1.25
 SEED = 20_231
+#: Bytes of text searched at a time.
+SLICE = 1_000_000
 WORD = re.compile(r"\w+")
 MATCHES = "array<struct<item_id:{},start:int,distance:int,similarity:double>>"
 
@@ -296,16 +299,10 @@ def _search(shared, similarity: float, share: float, kind):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         items = Items(shared.value, similarity, share)
         for batch in batches:
-            texts = batch.to_pylist()
-            out, first = [], 0
-            while first < len(texts):  # slices of about a million code points
-                last, held = first, 0
-                while last < len(texts) and held < 1_000_000:
-                    held += len(texts[last] or "")
-                    last += 1
-                for found in find_in(texts[first:last], items):
+            out = []
+            for _, texts in sliced(batch, SLICE):
+                for found in find_in(texts, items):
                     out.append([{"item_id": i, "start": s, "distance": d, "similarity": m} for i, s, d, m in found])
-                first = last
             yield pa.array(out, arrow)
 
     return run

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.worker import cached
+from kinweave.llm.worker import cached, sliced
 from kinweave.llm.words import LETTER, _classes
 from kinweave.session import settle, ship_functions
 
@@ -31,7 +31,7 @@ MAX_SAMPLE, MAX_CHARS = 4_000, 20_000
 EPOCHS = 3
 #: FTRL: learning rate, its offset, L1 and L2 penalties; features are multiplied by SCALE.
 ALPHA, BETA, L1, L2, SCALE = 0.5, 1.0, 0.02, 0.001, 10.0
-#: Code points handled at a time.
+#: Bytes of text handled at a time.
 SLICE = 2_000_000
 UNKNOWN = "und"
 
@@ -61,19 +61,6 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return out.reshape(-1), 2 * starts, letters
 
 
-def slices(texts: list[str | None], size: int = SLICE) -> Iterator[list[str | None]]:
-    part: list[str | None] = []
-    held = 0
-    for t in texts:
-        if part and held + len(t or "") > size:
-            yield part
-            part, held = [], 0
-        part.append(t)
-        held += len(t or "")
-    if part:
-        yield part
-
-
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, dim: int, epochs: int = EPOCHS) -> np.ndarray:
     """Weights (dim, classes) from rows of (features, values, class), in the given order."""
     z, n = np.zeros((dim, classes)), np.zeros((dim, classes))
@@ -132,7 +119,7 @@ def fit(docs: DataFrame, learn: Column | None = None, text: str = "text", lang:
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen, flag = np.zeros(BUCKETS + 1, np.int64), 0, np.zeros(BUCKETS + 1, bool)
         for batch in batches:
-            for part in slices(batch.column(0).to_pylist()):
+            for _, part in sliced(batch.column(0), SLICE):
                 found, starts, _ = ngrams(part)
                 seen += len(part)
                 for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(found)]):
@@ -205,7 +192,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
         for batch in batches:
             langs: list[str] = []
             scores: list[float] = []
-            for part in slices(batch.to_pylist()):
+            for _, part in sliced(batch, SLICE):
                 found, starts, letters = ngrams(part)
                 n = np.add.reduceat((found < BUCKETS).astype(np.int64), starts)
                 sums = np.stack([np.add.reduceat(weights[:, k][found], starts, dtype=np.float64) for k in range(len(names))], 1)

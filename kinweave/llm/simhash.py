@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.llm.worker import sliced
 from kinweave.operators.components import star_rounds
 from kinweave.session import drop_table, settle, ship_functions
 
@@ -143,8 +144,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = fingerprints_of(batch.column(1).to_pylist(), words, seed).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            found = [fingerprints_of(texts, words, seed).view(np.int64) for _, texts in sliced(batch.column(1), SLICE)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["doc_id", "fp"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("doc_id"), text).mapInArrow(run, f"doc_id {kind}, fp long")

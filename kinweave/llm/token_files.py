@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave.llm.bpe import load_blob
-from kinweave.llm.worker import cached
-from kinweave.llm.words import encode_words, pieces, stream, words
+from kinweave.llm.worker import cached, sliced
+from kinweave.llm.words import SLICE, encode_words, pieces, stream, words
 from kinweave.session import ship_functions
 
 ship_functions(__name__)
@@ -146,14 +146,14 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
         arrow = to_arrow_schema(schema)
         for batch in batches:
             names = batch.column(0).to_pylist()
-            parts_of = batch.column(1).to_pylist()
             open_row = -1
-            for rows, parts in pieces(parts_of):
+            for rows, parts in ((rows + first, parts) for first, texts in sliced(batch.column(1), SLICE)
+                                for rows, parts in ((np.array(r), p) for r, p in pieces(texts))):
                 found, counts = words(parts)
                 at, data = stream(encode_words(found, known, new_words))
                 at = at[counts] // 4
                 ids = np.frombuffer(data, "<u4")
-                for k, row in enumerate(rows):
+                for k, row in enumerate(rows.tolist()):
                     if row != open_row:
                         if open_row >= 0:  # the row before is whole
                             held.append(np.array(end, "<u4"))

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.llm.worker import sliced
 from kinweave.session import settle, ship_functions
 
 ship_functions(__name__)
@@ -37,6 +38,8 @@ MAX_TOKENS = 100_000
 PRIOR, MIN_Z = 1.0, 4.4
 #: E-value up to which a passage is significant.
 E_VALUE = 0.05
+#: Bytes of text handled at a time.
+SLICE = 4_000_000
 TOKEN = re.compile(r"[^\W\d_]+")
 PASSAGES = "array<struct<start:int,end:int,score:double,e_value:double>>"
 
@@ -246,7 +249,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         known = Model(**shared.value)
         for batch in batches:
             out = []
-            for text_ in batch.to_pylist():
+            for text_ in (t for _, texts in sliced(batch, SLICE) for t in texts):
                 found = known.passages(tokens(text_))
                 out.append({"p": known.probability([f[3] for f in found]), "s": [
                     {"start": a, "end": b, "score": s, "e_value": e} for a, b, s, e in found]})

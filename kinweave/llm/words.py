@@ -25,7 +25,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 # Code points with the Unicode property White_Space.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
-#: Code points handled at a time; a longer text is cut between words.
+#: Bytes or code points handled at a time; a longer text is cut between words.
 SLICE = 3_000_000
 CUT = re.compile(r"(?<=[a-zA-Z]) (?=[a-zA-Z])")
 
