@@ -165,8 +165,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", chu
     tagged = docs.withColumn("_kw_tsha", sha)
     on = tagged[id_col].eqNullSafe(found["_kw_id"]) & (tagged["_kw_tsha"] == found["_kw_sha"])
     if found.where("_kw_rows > 1").isEmpty():
-        return tagged.join(found, on, "left_semi").drop("_kw_tsha")
-    joined = tagged.join(found, on)
+        return tagged.join(found.hint("merge"), on, "left_semi").drop("_kw_tsha")
+    joined = tagged.join(found.hint("merge"), on)
     once = joined.where("_kw_rows = 1").select(*docs.columns)
     repeated = joined.where("_kw_rows > 1").dropDuplicates([id_col, "_kw_tsha"]).select(*docs.columns)
     return once.unionByName(repeated)

@@ -325,4 +325,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     """`docs` with one document of each class, that of the smallest id; all columns kept."""
     stay = classes(docs, id_col, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = settle(stay.select(F.col("doc_id").alias("_kw_stay")).distinct())
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_kw_stay"]), "left_semi")
+    return docs.join(stay.hint("merge"), docs[id_col].eqNullSafe(stay["_kw_stay"]), "left_semi")
