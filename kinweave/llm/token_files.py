@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from kinweave.llm.bpe import load_blob
 from kinweave.llm.worker import cached, sliced
 from kinweave.llm.words import SLICE, encode_words, pieces, stream, words
-from kinweave.session import ship_functions
+from kinweave.session import settle, ship_functions
 
 ship_functions(__name__)
 
@@ -212,6 +212,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("_kw_n"))  # one row per part file
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("_kw_n").over(earlier), F.lit(0)).alias("_kw_base"))
+    # Settled, so that Catalyst knows how small it is and leaves the shards where they are.
+    parts = settle(parts.select("part", F.coalesce(F.sum("_kw_n").over(earlier), F.lit(0)).alias("_kw_base")))
     based = shards.join(parts, "part").withColumn("base", F.col("_kw_base") + F.col("before"))
     return based.select("n_docs", "id_bytes", "ef_width", "ef_low", "ef_high", "ef_samples", "ids", "doc_ids", "base").mapInArrow(run, schema)
