@@ -7,8 +7,9 @@
    negative constant.
 3. Under the background of clean documents a segment of score S in n tokens has
    the E-value K n exp(-lambda S) (Karlin and Altschul, PNAS 1990).  The evidence
-   of the significant segments is summed and mapped to a probability by a
-   logistic curve fitted on labelled documents that gave no token.
+   of the significant segments, their sum and their best, and the length of the
+   text give the probability, by a logistic curve fitted on labelled documents
+   that gave no token.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ MAX_LABELLED = 100_000
 MAX_TOKENS = 100_000
 #: Pseudo-count of documents per token and class, and the significance (signed root of the
 #: log-likelihood ratio, in standard deviations) from which a token is listed.
-PRIOR, MIN_Z = 1.0, 4.4
+PRIOR, MIN_Z = 1.0, 4.0
 #: E-value up to which a passage is significant.
 E_VALUE = 0.05
 #: Bytes of text handled at a time.
@@ -74,14 +75,17 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    """Token scores, the score of all other tokens, lambda, K and the logistic curve."""
+    """Token scores, the score of all other tokens, lambda, K and the logistic curve.
+
+    The k-th use of a token in a text scores the k-th part, so that one word
+    repeated over and over is weak evidence.
+    """
 
     scores: dict[str, float]
     rest: float
     decay: float = 1.0
     k: float = 1.0
-    slope: float = 1.0
-    offset: float = 0.0
+    curve: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     e_value: float = E_VALUE
 
     def passages(self, words: list[str]) -> list[tuple[int, int, float, float]]:
@@ -91,11 +95,13 @@ class Model:
         if not hits:
             return []
         items, places, last = [], [], None
+        used: Counter[str] = Counter()
         for i in hits:
             if last is not None and i - last > 1:
                 items.append((i - last - 1) * self.rest)
                 places.append((last + 1, i))
-            items.append(get(words[i]))
+            used[words[i]] += 1
+            items.append(get(words[i]) / used[words[i]])
             places.append((i, i + 1))
             last = i
         base = self.k * max(1, len(words))
@@ -106,12 +112,17 @@ class Model:
                 out.append((places[a][0], places[b - 1][1], score, expected))
         return out
 
-    def probability(self, expected: list[float]) -> float:
-        evidence = sum(-math.log(max(e, 1e-300)) for e in expected)
-        z = self.slope * math.log1p(evidence) + self.offset
+    def probability(self, expected: list[float], size: int) -> float:
+        z = sum(w * x for w, x in zip(self.curve, evidence(expected, size)))
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
 
 
+def evidence(expected: list[float], size: int) -> tuple[float, float, float, float]:
+    """What the logistic curve sees of a text: the sum and the best of its evidence, its length, and one."""
+    found = [-math.log(max(e, 1e-300)) for e in expected]
+    return math.log1p(max(0.0, sum(found))), math.log1p(max(0.0, max(found, default=0.0))), math.log1p(size), 1.0
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text: str, label: str, most: int) -> DataFrame:
     """(text, y, part) of at most `most` labelled documents; of contradicting labels of one id the higher counts."""
     ids = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).where(learn)
@@ -138,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
         F.sum("n").alias("n")).selectExpr("_kw_y", "1 - _kw_part AS _kw_part", "n").collect()}
     toxic, clean = (sizes.get((y, False), 0) for y in (1, 0))
     base = (sum(n for (y, _), n in sizes.items() if y == 1) + 0.5) / (sum(sizes.values()) + 1)
-    none = Model({}, -1.0, slope=0.0, offset=math.log(base / (1 - base)), e_value=e_value)
+    none = Model({}, -1.0, curve=(0.0, 0.0, 0.0, math.log(base / (1 - base))), e_value=e_value)
     if not toxic or not clean:
         return none
 
@@ -200,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
         model.decay = low
     k_model, cut = Model(scores, model.rest, model.decay, 1.0, e_value=1e300), e_value
 
-    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text_, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -208,27 +219,24 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
                 out.append({"y": y, "n": len(words), "e": [p[3] for p in k_model.passages(words)]})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("y", pa.int32()), ("n", pa.int64()), ("e", pa.list_(pa.float64()))]))
 
-    curve = held.mapInArrow(evidence, "y int, n long, e array<double>").collect()  # at most a quarter of `most` rows
-    tops = [min(r["e"]) if r["e"] else r["n"] for r in curve if r["y"] == 0 and r["n"]]
+    seen = held.mapInArrow(measure, "y int, n long, e array<double>").collect()  # at most a quarter of `most` rows
+    tops = [min(r["e"]) if r["e"] else r["n"] for r in seen if r["y"] == 0 and r["n"]]
     model.k = min(1.0, 1 / max(1e-9, float(np.mean(tops)))) if tops else 1.0
-    x = np.array([math.log1p(sum(-math.log(max(model.k * e, 1e-300)) for e in r["e"] if model.k * e <= cut)) for r in curve])
-    y = np.array([r["y"] for r in curve], float)
-    model.slope, model.offset = _logistic(x, y)
+    x = [evidence([model.k * e for e in r["e"] if model.k * e <= cut], r["n"]) for r in seen]
+    model.curve = _logistic(np.array(x).reshape(-1, 4), np.array([r["y"] for r in seen], float))
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Slope and offset of a logistic curve by Newton's method, slightly shrunk."""
-    if not len(x):
-        return 1.0, -1.0
-    both, w = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(both @ w, -30, 30)))
-        step = np.linalg.solve(both.T @ (both * (p * (1 - p))[:, None]) + ridge * np.eye(2), both.T @ (y - p) - ridge * w)
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> tuple[float, ...]:
+    """Weights of a logistic curve by Newton's method, slightly shrunk."""
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(max(w[0], 0.0)), float(w[1])
+    return tuple(map(float, w))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -250,8 +258,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             out = []
             for text_ in (t for _, texts in sliced(batch, SLICE) for t in texts):
-                found = known.passages(tokens(text_))
-                out.append({"p": known.probability([f[3] for f in found]), "s": [
+                words = tokens(text_)
+                found = known.passages(words)
+                out.append({"p": known.probability([f[3] for f in found], len(words)), "s": [
                     {"start": a, "end": b, "score": s, "e_value": e} for a, b, s, e in found]})
             yield pa.array(out, kind)
 

@@ -74,7 +74,7 @@ def test_toxicity_of_odd_documents(spark, odd, empty):
     assert toxicity.score(empty, model).count() == 0
     strange = spark.createDataFrame([(None, 1), (3, None), (4, 7), (99999, 1), (5, 0), (5, 1)], "doc_id long, toxic int")
     none = toxicity.fit(docs, strange)
-    assert not none.scores and 0 < none.probability([]) < 1
+    assert not none.scores and 0 < none.probability([], 0) < 1
     assert not toxicity.fit(empty, labels).scores
 
 
