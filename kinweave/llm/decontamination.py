@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ STEP = 1.25
 SEED = 20_231
 #: Bytes of text searched at a time.
 SLICE = 1_000_000
+#: Bands of diagonals per word pair up to which their weights are added up without sorting.
+DENSE = 32
 WORD = re.compile(r"\w+")
 MATCHES = "array<struct<item_id:{},start:int,distance:int,similarity:double>>"
 
@@ -71,9 +74,11 @@ def sampled(kind: int, tables: int = TABLES, bits: int = SAMPLED) -> np.ndarray:
 
 
 def walk_bits(kind: int, steps: int) -> np.ndarray:
-    """The random bits of a walk: for every step, one per character (modulo 256)."""
+    """The random bits of a walk: for every step, one per character (modulo 255, from 1); padding stays where it is."""
     draws = _draw(kind, np.arange(steps * 256, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
-    return (draws >> np.uint64(40) & np.uint64(1)).astype(np.int64).reshape(steps, 256)
+    out = (draws >> np.uint64(40) & np.uint64(1)).astype(np.int64).reshape(steps, 256)
+    out[:, 0] = 0
+    return out
 
 
 def cgk_keys(code: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int,
@@ -86,23 +91,24 @@ def cgk_keys(code: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int,
     places = sampled(kind, tables, bits)
     steps = int(places.max()) + 1
     walk = walk_bits(kind, steps)
-    code = np.append(code, 0).astype(np.uint32)
+    width = int((ends - starts).max(initial=0)) + 1
+    at = starts[:, None] + np.arange(width)
+    inside = at < ends[:, None]
+    board = np.where(inside, code[np.minimum(at, len(code) - 1)] % 255 + 1, 0).astype(np.uint8).ravel()
     needed = np.unique(places)
     row_of = dict(zip(needed.tolist(), range(len(needed))))
-    kept = np.zeros((len(needed), len(starts)), np.uint32)
-    at = starts.copy()
+    kept = np.zeros((len(needed), len(starts)), np.uint8)
+    at = np.arange(len(starts)) * width
     for j in range(steps):
-        inside = at < ends
-        here = code[np.where(inside, at, len(code) - 1)]
+        here = board.take(at)
         if j in row_of:
             kept[row_of[j]] = here
-        at = at + (walk[j][here & 255] & inside)
-    keys = np.zeros((len(starts), tables), np.uint64)
+        at += walk[j].take(here)
     where = np.searchsorted(needed, places)
+    keys = np.zeros((tables, len(starts)), np.uint64)
     for b in range(bits):
-        keys = (keys ^ kept[where[:, b]].T.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
-    return keys
+        keys = keys * np.uint64(257) + kept[where[:, b]]
+    return keys.T
 
 
 def codes_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +145,65 @@ def infix_distance(item: str, text: str) -> int:
     return best
 
 
+def infix_distances(pairs: list[tuple[str, str]], together: int = 256) -> list[int]:
+    """`infix_distance` of many (item, text) pairs: their bit vectors, as rows of 64-bit words, go through each step together."""
+    out = [0] * len(pairs)
+    order = sorted((x for x in range(len(pairs)) if pairs[x][0]), key=lambda x: len(pairs[x][1]))
+    for a in range(0, len(order), together):
+        rows = order[a: a + together]
+        for x, d in zip(rows, _infix_batch([pairs[x] for x in rows]).tolist()):
+            out[x] = d
+    return out
+
+
+def _infix_batch(pairs: list[tuple[str, str]]) -> np.ndarray:
+    u = np.uint64
+    n = np.array([len(item) for item, _ in pairs])
+    sizes = np.array([len(text) for _, text in pairs])
+    width = (int(n.max()) + 63) // 64
+    every = np.arange(len(pairs))
+    symbols, masks, first = np.zeros((len(pairs), int(sizes.max(initial=0)) + 1), np.int64), [], 0
+    for x, (item, text) in enumerate(pairs):
+        codes = np.frombuffer(item.encode("utf-32-le"), np.uint32)
+        known = np.unique(codes)
+        bits = np.zeros((len(known) + 1, width * 64), np.uint8)  # row 0: characters that the item has not
+        bits[1:, : len(codes)] = known[:, None] == codes
+        masks.append(np.packbits(bits, axis=1, bitorder="little").view(u))
+        found = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        symbols[x, : len(found)] = first + np.where(known[at] == found, at + 1, 0)
+        first += len(known) + 1
+    masks = np.concatenate(masks)
+    full = np.packbits(np.arange(width * 64) < n[:, None], axis=1, bitorder="little").view(u)
+    word, bit = (n - 1) // 64, ((n - 1) % 64).astype(u)
+    pv, mv, score, best = full.copy(), np.zeros_like(full), n.copy(), n.copy()
+
+    def up(x: np.ndarray) -> np.ndarray:
+        out = x << u(1)
+        out[:, 1:] |= x[:, :-1] >> u(63)
+        return out & full
+
+    for j in range(int(sizes.max(initial=0))):
+        eq = masks[symbols[:, j]]
+        xv = eq | mv
+        both = eq & pv
+        total = both + pv
+        carry = np.zeros(total.shape, bool)
+        carry[:, 1:] = (total < both)[:, :-1]
+        while carry.any():
+            over = carry & (total == u(0xFFFFFFFFFFFFFFFF))
+            total = total + carry.astype(u)
+            carry = np.zeros_like(carry)
+            carry[:, 1:] = over[:, :-1]
+        xh = (total ^ pv) | eq
+        ph, mh = mv | (~(xh | pv) & full), pv & xh
+        score = score + ((ph[every, word] >> bit) & u(1)).astype(np.int64) - ((mh[every, word] >> bit) & u(1)).astype(np.int64)
+        best = np.where(j < sizes, np.minimum(best, score), best)
+        ph, mh = up(ph), up(mh)
+        pv, mv = mh | (~(xv | ph) & full), ph & xv
+    return best
+
+
 class Items:
     """The items of a block with their word pairs and their LSH tables."""
 
@@ -205,7 +270,13 @@ class Items:
         for half in (0, 1):  # bands overlap by half, so that no cluster is cut
             slot = (start + half * (band // 2)) // band
             low = int(slot.min())
-            key = item * (int(slot.max()) - low + 1) + (slot - low)
+            span = int(slot.max()) - low + 1
+            key = item * span + (slot - low)
+            if len(self.ids) * span <= DENSE * len(key):  # few enough bands to add up in place
+                enough = np.bincount(key, weight)[key] >= self.least[item]
+                out_item.append(item[enough])
+                out_start.append(start[enough])
+                continue
             order = np.argsort(key, kind="stable")
             key = key[order]
             border = np.flatnonzero(np.diff(key, prepend=-1) != 0)
@@ -217,23 +288,27 @@ class Items:
         return both[:, 0], both[:, 1]
 
 
-def find_in(texts: list[str | None], items: Items) -> list[list[tuple[object, int, int, float]]]:
-    """For each text the (item id, start word, distance, similarity) of every item in it."""
-    out: list[list[tuple[object, int, int, float]]] = [[] for _ in texts]
+Asked = list[tuple[int, int, int]]
+
+
+def candidates(texts: list[str | None], items: Items, first_row: int = 0) -> tuple[Asked, list[tuple[str, str]]]:
+    """(text, item, start word) of what the tables bring together, and the (item, passage) pairs to be verified."""
+    asked: Asked = []
+    pairs: list[tuple[str, str]] = []
     if not items.ids:
-        return out
+        return asked, pairs
     known = items.vocabulary.get
     docs = [words_of(t) for t in texts]
     starts = np.cumsum([0] + [len(d) + 2 for d in docs])
     ids = np.full(int(starts[-1]), -1, np.int64)  # two gaps between texts: no pair spans them
     for d, at in zip(docs, starts.tolist()):
-        ids[at: at + len(d)] = [known(w, -1) for w in d]
+        ids[at: at + len(d)] = np.fromiter(map(known, d, repeat(-1)), np.int64, len(d))
     item, start = items.hits(ids)
     if not len(item):
-        return out
+        return asked, pairs
     size = items.size[item]
     doc = np.clip(np.searchsorted(starts, start + size // 2, "right") - 1, 0, len(docs) - 1)
-    code, char_at = codes_of([w for d in docs for w in (*d, "", "")])
+    code, char_at = codes_of(list(chain.from_iterable(chain.from_iterable(zip(docs, repeat(("", "")))))))
     first = np.clip(start, starts[doc], starts[doc + 1] - 2)
     last = np.clip(start + size, starts[doc], starts[doc + 1] - 2)
     begin, end = char_at[first], np.maximum(char_at[last] - 1, char_at[first])
@@ -246,9 +321,8 @@ def find_in(texts: list[str | None], items: Items) -> list[list[tuple[object, in
             for x in some[(keys == items.keys[item[some]]).any(axis=1)].tolist():
                 passed.setdefault((int(doc[x]), int(item[x])), set()).add(int(start[x] - starts[doc[x]]))
     for (d, k), places in passed.items():
-        text, n = items.texts[k], int(items.size[k])
-        most, slack = int((1 - items.similarity) * len(text) + 1e-9), n // 4 + 1
-        best, spans = None, []
+        n = int(items.size[k])
+        slack, spans = n // 4 + 1, []
         for a in sorted(places):  # windows that touch are verified as one
             lo, hi = max(0, a - slack), max(0, a + n + slack)
             if spans and lo <= spans[-1][1]:
@@ -256,14 +330,30 @@ def find_in(texts: list[str | None], items: Items) -> list[list[tuple[object, in
             else:
                 spans.append((lo, hi, a))
         for lo, hi, a in spans:
-            distance = infix_distance(text, " ".join(docs[d][lo:hi]))
-            if distance <= most and (best is None or distance < best[1]):
-                best = (max(a, 0), distance)
-        if best:
-            out[d].append((items.ids[k], best[0], best[1], 1 - best[1] / len(text)))
+            asked.append((first_row + d, k, max(a, 0)))
+            pairs.append((items.texts[k], " ".join(docs[d][lo:hi])))
+    return asked, pairs
+
+
+def verified(asked: Asked, pairs: list[tuple[str, str]], items: Items) -> dict[int, list[tuple[object, int, int, float]]]:
+    """For each text the (item id, start word, distance, similarity) of every item that is in it."""
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for (d, k, a), distance in zip(asked, infix_distances(pairs)):
+        most = int((1 - items.similarity) * len(items.texts[k]) + 1e-9)
+        if distance <= most and ((d, k) not in best or distance < best[d, k][1]):
+            best[d, k] = (a, distance)
+    out: dict[int, list[tuple[object, int, int, float]]] = {}
+    for (d, k), (a, distance) in best.items():
+        out.setdefault(d, []).append((items.ids[k], a, distance, 1 - distance / len(items.texts[k])))
     return out
 
 
+def find_in(texts: list[str | None], items: Items) -> list[list[tuple[object, int, int, float]]]:
+    """`verified` of the candidates of some texts, one list per text."""
+    found = verified(*candidates(texts, items), items)
+    return [found.get(d, []) for d in range(len(texts))]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
             similarity: float = SIMILARITY, share: float = PAIR_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """`docs` with `matches`: item_id, start (in words), distance and similarity of every item found in each whole text.
@@ -299,10 +389,15 @@ def _search(shared, similarity: float, share: float, kind):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         items = Items(shared.value, similarity, share)
         for batch in batches:
-            out = []
-            for _, texts in sliced(batch, SLICE):
-                for found in find_in(texts, items):
-                    out.append([{"item_id": i, "start": s, "distance": d, "similarity": m} for i, s, d, m in found])
+            asked: Asked = []
+            pairs: list[tuple[str, str]] = []
+            for first, texts in sliced(batch, SLICE):
+                more = candidates(texts, items, first)
+                asked += more[0]
+                pairs += more[1]
+            found = verified(asked, pairs, items)  # those of a batch go together
+            out = [[{"item_id": i, "start": s, "distance": d, "similarity": m} for i, s, d, m in found.get(row, ())]
+                   for row in range(len(batch))]
             yield pa.array(out, arrow)
 
     return run

@@ -25,6 +25,21 @@ def test_infix_distance():
         assert dec.infix_distance(a, b) == infix_brute(a, b)
 
 
+def test_infix_distances_together():
+    """Items of up to several words of 64 bits, texts of any length, empty ones too."""
+    draw = random.Random(6)
+    pairs = [("", "abc"), ("abc", "")]
+    for _ in range(300):
+        a = "".join(draw.choice("abcé\U0001F600") for _ in range(draw.choice([1, 5, 63, 64, 65, 130, 200])))
+        b = list(a)
+        for _ in range(draw.randrange(30)):
+            at = draw.randrange(len(b) + 1)
+            b[at:at + draw.randrange(2)] = [draw.choice("abcx")] * draw.randrange(2)
+        pairs.append((a, "".join(draw.choice("abcx") for _ in range(draw.randrange(90))) + "".join(b) + "b" * draw.randrange(50)))
+    want = [dec.infix_distance(a, b) for a, b in pairs]
+    assert dec.infix_distances(pairs) == want == dec.infix_distances(pairs, together=7)
+
+
 def language(draw, n):
     parts = ["ka", "ti", "mo", "re", "shu", "lin", "ed", "on", "va", "qu"]
     common = ["the", "of", "and", "to", "in"]
