@@ -33,7 +33,7 @@ SIMILARITY = 0.8
 #: Share of the weight of an item's word pairs that must stand on about one diagonal.
 PAIR_SHARE = 0.08
 #: Tables and sampled positions per table.  Measured recall at a similarity of 0.8: 0.98 for edits
-#: of whole words; for edits of single characters 0.93 at a tenth of them and less beyond.
+#: of whole words; for edits of single characters 0.94 at a tenth of them and less beyond.
 TABLES, SAMPLED = 192, 3
 #: Ratio of the lengths of neighbouring size classes; windows of one class share their tables.
 STEP = 1.25
