@@ -113,7 +113,8 @@ def fingerprints_of(texts: list[str | None], words: int = WORDS, seed: int = SEE
     return out
 
 
-def _slice_fingerprints(norms: list[bytes], words: int, seed: int) -> np.ndarray:
+def shingles_of(norms: list[bytes], words: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in one, starts and sizes of their word shingles, the text of each shingle, shingles per text."""
     data = b" ".join(norms)
     gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 0x20)
     begin = np.concatenate([[0], gaps + 1])
@@ -127,7 +128,11 @@ def _slice_fingerprints(norms: list[bytes], words: int, seed: int) -> np.ndarray
     text_of = np.repeat(np.arange(len(norms)), shingles)
     from_word = np.arange(shingle_at[-1]) - shingle_at[text_of] + word_at[text_of]
     to_word = np.minimum(from_word + words, word_at[text_of + 1]) - 1
-    starts, sizes = begin[from_word], end[to_word] - begin[from_word]
+    return data, begin[from_word], end[to_word] - begin[from_word], text_of, shingles
+
+
+def _slice_fingerprints(norms: list[bytes], words: int, seed: int) -> np.ndarray:
+    data, starts, sizes, text_of, shingles = shingles_of(norms, words)
     ones = np.zeros((len(norms), 64), np.int64)
     for a in range(0, len(starts), SHINGLES):
         h = xxh64(data, starts[a:a + SHINGLES], sizes[a:a + SHINGLES], seed)
