@@ -108,3 +108,53 @@ def test_windows_of_equal_texts_have_equal_keys():
     code, at = dec.codes_of(["alpha beta", "gamma", "alpha beta", "delta"])
     keys = dec.cgk_keys(code, at[:-1], at[1:] - 1, dec.size_class(10))
     assert (keys[0] == keys[2]).all() and not (keys[0] == keys[1]).all()
+
+
+def found(text, *items):
+    return [{i for i, *_ in found} for found in dec.find_in([text], dec.Items(list(enumerate(items)), dec.SIMILARITY, dec.GRAM_SHARE))][0]
+
+
+def test_passages_glued_to_other_text():
+    """Without spaces a clause is one word: items inside longer clauses are found, exact or edited."""
+    draw = random.Random(4)
+    glyphs = [chr(0x4E00 + draw.randrange(3000)) for _ in range(400)]
+    for size in (6, 20, 50, 90, 200):
+        item = "".join(draw.choice(glyphs) for _ in range(size))
+        edited = list(item)
+        for at in draw.sample(range(size), size // 8):
+            edited[at] = "x"
+        around = ["".join(draw.choice(glyphs) for _ in range(60)) for _ in range(2)]
+        assert found(around[0] + item + around[1], item, "never there at all") == {0}
+        assert found(around[0] + "".join(edited) + around[1], item) == {0}
+    clauses = ["".join(draw.choice(glyphs) for _ in range(9)) for _ in range(3)]
+    assert found(glyphs[0] * 5 + "\u3002".join(clauses) + glyphs[1] * 5, "\u3001".join(clauses)) == {0}
+
+
+def test_short_items_with_edits():
+    """Items of one and two words with an edit in any word."""
+    text = "some other text before photosynthesys and then quantam mechanixs, not more"
+    assert found(text, "photosynthesis", "quantum mechanics", "kinetic energy", "mitochondrion") == {0, 1}
+
+
+def test_recall_of_edited_characters():
+    """Edits of 15 and 19 % of the single characters, spaces too, of items of every length."""
+    draw = random.Random(12)
+    items = [(i, " ".join(language(draw, draw.randrange(6, 60)))) for i in range(80)]
+    table = dec.Items(items, dec.SIMILARITY, dec.GRAM_SHARE)
+    for rate in (0.15, 0.19):
+        docs = []
+        for _, text in items:
+            s = list(text)
+            for _ in range(int(rate * len(s))):
+                at = draw.randrange(len(s))
+                s[at:at + draw.randrange(2)] = [draw.choice("abcdefgh ")] * draw.randrange(2)
+            docs.append(" ".join([*language(draw, 80), "".join(s), *language(draw, 80)]))
+        true = [d for d, (_, t) in enumerate(items) if dec.infix_distance(t, " ".join(dec.words_of(docs[d]))) <= 0.2 * len(t)]
+        got = dec.find_in(docs, table)
+        assert len(true) > 60 and sum(any(i == d for i, *_ in got[d]) for d in true) >= 0.97 * len(true)
+
+
+def test_repeated_characters_stay_within_memory(monkeypatch):
+    """A gram that stands everywhere in item and text is met in overlapping parts of the text."""
+    monkeypatch.setattr(dec, "HITS", 10_000)
+    assert found("b " + "a" * 5000 + " c", "a" * 150, "a" * 12, "z" * 100) == {0, 1}
