@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import (bpe, decontamination, exact_dedup, html_text, language, line_dedup, simhash, token_files, toxicity,
-                          url_filter)
+from kinweave.llm import (alignment, bpe, decontamination, exact_dedup, html_text, language, line_dedup, neighbours, simhash,
+                          token_files, toxicity, url_filter, whitening)
 from kinweave.llm.registry import query, table
 from kinweave.session import work_path
 
@@ -121,3 +121,31 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+@query("op11_cross_alignment")
+def op11_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                              public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.encode("groups", "utf-8"), 256))
+    rated = alignment.rate_links(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return rated.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op12_neighbours")
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    index = neighbours.build_index(vectors, k=20)
+    return neighbours.search(index, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors, components=32)
+    white = whitening.whiten(vectors, model)
+    n, trace, error, values = (model.n, model.trace, model.error, model.values) if model else (0, 1.0, 0.0, [])
+    shares = F.array(*[F.lit(float(v) / trace) for v in values]).cast("array<double>")
+    return white.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened")).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), F.col("deviation").cast("long").alias("deviation"),
+        "whitened", F.get(shares, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"))
