@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 from kinweave.operators import cleaning, edges
 from kinweave.queries.contracts import TECH_MONTHS, numbered
 from kinweave.queries.edges import E_EDGE, E_REPLY, T_EDGE, event_rows, tech_rows
-from kinweave.queries.modelling import FORECAST, forecast
+from kinweave.queries.modelling import FORECAST, clip, forecast
 from kinweave.queries.panel import rounded
 from kinweave.queries.registry import query
 from kinweave.queries.sqlviews import EVENTS, SOCIAL, STATUS, TECH, with_ctes
 from kinweave.queries.transforms import COLS, ROUND, SMALL_SQL, as_doubles, small_panel
 from kinweave.queries.trials import ROW, STORE, store
 from kinweave.schemas import FEATURES, Logs, PANEL_COLUMNS
-from kinweave.session import work_path
+from kinweave.session import settle, work_path
 from kinweave.sources import dims, logs, products, views
 
 
@@ -169,21 +169,44 @@ def src_cached_panel(spark, sf):
     return as_doubles(products.load_cached(spark, path).select("proj_name", "month", *COLS))
 
 
-@query("snk_json_products", with_ctes(*SMALL_SQL, FORECAST) + "SELECT project, month, round(p, 6) AS p FROM fc")
+VIS = """vis AS (SELECT project, month, dev AS a, split_part(file, '.', -1) AS b, CAST(sum(weight) AS BIGINT) AS weight FROM t_edge GROUP BY ALL)"""
+TRAJ = f"""path AS (SELECT project, month, {clip('p')} AS p FROM fc WHERE month % 2 = 0)"""
+
+
+@query("snk_json_products", with_ctes(*SMALL_SQL, FORECAST, *[c for c in (TECH, TECH_MONTHS, T_EDGE) if c not in SMALL_SQL], VIS, TRAJ) + """
+SELECT 'forecast' AS product, project, month, '' AS a, '' AS b, round(CASE WHEN project IN ('proj1', 'proj4') THEN p / 2 ELSE p END, 6) AS value
+FROM fc WHERE project NOT IN ('proj1', 'proj4') OR month < 30
+UNION ALL SELECT 'vis', project, month, a, b, round(CAST(weight * CASE WHEN project IN ('proj1', 'proj4') THEN 2 ELSE 1 END AS DOUBLE), 6) FROM vis
+UNION ALL SELECT 'trajectory', project, month, '', '', round(p, 6) FROM path""")
 def snk_json_products(spark, sf):
+    """Forecast, graphs and paths of all projects saved, then those of two projects anew, which share buckets with others."""
     path = work_path(spark, "products")
-    products.write_products({"forecast": forecast(spark, sf)}, path)
-    raw = spark.read.text(f"{path}/forecast")
-    return raw.select(F.from_json("value", "project string, month int, p double").alias("v")).select(
-        "v.project", "v.month", F.round("v.p", 6).alias("p"))
+    two = F.col("project").isin("proj1", "proj4")
+    scores = settle(forecast(spark, sf))
+    pages = settle(edges.vis_tech(edges.tech_edges(tech_rows(spark, sf))))
+    near = F.least(F.greatest("p", F.lit(0.0)), F.lit(1.0))
+    paths = scores.where("month % 2 = 0").select("project", "month", F.array(near).alias("path"))
+    first = {"forecast": scores, "vis": pages, "trajectory": paths}
+    products.write_products(first, path, buckets=3)
+    again = {"forecast": scores.where(two & (F.col("month") < 30)).withColumn("p", F.col("p") / 2),
+             "vis": pages.where(two).withColumn("weight", F.col("weight") * 2), "trajectory": paths.where(two)}
+    products.write_products(again, path, number=1)
+    products.write_products(again, path, number=1)  # a repeated save changes nothing
+    read = lambda name, schema: products.read_product(spark, path, name, f"project string, month int, {schema}").withColumn(
+        "product", F.lit(name))
+    cells = lambda rows, a, b, value: rows.select("product", "project", "month", a.alias("a"), b.alias("b"), F.round(value, 6).alias("value"))
+    none = F.lit("")
+    return cells(read("forecast", "p double"), none, none, F.col("p")).unionByName(
+        cells(read("vis", "dev string, kind string, weight long"), F.col("dev"), F.col("kind"), F.col("weight").cast("double"))).unionByName(
+        cells(read("trajectory", "path array<double>"), none, none, F.col("path")[0]))
 
 
 @query("snk_forecast_csv", with_ctes(*SMALL_SQL, FORECAST) + "SELECT project, month, round(p, 6) AS close FROM fc")
 def snk_forecast_csv(spark, sf):
-    path = work_path(spark, "forecast")
-    products.write_forecast(forecast(spark, sf), path)
-    rows = spark.read.csv(path, schema="month int, close double, project string", header=True)
-    return rows.select("project", "month", F.round("close", 6).alias("close"))
+    path, rows = work_path(spark, "forecast"), forecast(spark, sf)
+    products.write_forecast(rows.where("project <> 'proj2' OR month < 10"), path, buckets=2)
+    products.write_forecast(rows.where("project = 'proj2'"), path)
+    return products.read_forecast(spark, path).select("project", "month", F.round("close", 6).alias("close"))
 
 
 @query("src_trials", with_ctes(*STORE) + f"SELECT date, {ROW} FROM store")

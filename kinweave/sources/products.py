@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave.schemas import COUNT_FEATURES, PANEL_COLUMNS, TRIAL_COLUMNS
-from kinweave.session import settle
+from kinweave.sources import store
 
 TECH_EDGE = "project string, file string, dev string, weight long, month int"
 SOCIAL_EDGE = "project string, src string, dst string, weight long, month int"
 TRIALS = ", ".join(
     f"{c} {'double' if c == 'perf' else 'long' if c == 'support' else 'string'}" for c in TRIAL_COLUMNS)
-BUCKETS = 64
 
 
 def panel_schema() -> T.StructType:
@@ -91,45 +90,37 @@ def read_panel(spark: SparkSession, path: str, incubator: str, options: str, ver
     return read_panel(spark, path, incubator, options, version)
 
 
-def _bucketed(rows: DataFrame, key: str = "proj_name") -> DataFrame:
-    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
-
-
 def load_cached(spark: SparkSession, path: str, project: str | None = None) -> DataFrame:
-    """The cached panel rows of one project or of all; empty without a cache."""
-    schema = T.StructType(panel_schema().fields + [T.StructField("bucket", T.IntegerType())])
-    rows = _read(spark, path, schema)
-    if project is not None:
-        bucket = F.pmod(F.xxhash64(F.lit(project)), F.lit(BUCKETS)).cast("int")
-        rows = rows.where((F.col("bucket") == bucket) & (F.col("proj_name") == project))
-    return rows.drop("bucket")
+    """The cached panel rows of one project, from its bucket, or of all; empty without a cache."""
+    key = {} if project is None else {"proj_name": project}
+    return store.load(spark, path, panel_schema(), **key)
 
 
-def save_cached(rows: DataFrame, path: str) -> None:
+def save_cached(rows: DataFrame, path: str, **layout: int) -> None:
     """Replace the cached rows of the projects in `rows`; other projects stay.
 
-    Projects share buckets, so the number of folders does not grow with them.
-    Only touched buckets are read and rewritten.
+    Projects share buckets, whose number follows the size of the cache; only
+    touched ones are read and written.
+    """
+    kinds = panel_schema()
+    store.save(rows.select(*[F.col(c).cast(kinds[c].dataType) for c in PANEL_COLUMNS]), path, ["proj_name"], **layout)
+
+
+def write_products(products: dict[str, DataFrame], path: str, key: str = "project", number: int | None = None,
+                   **layout: int) -> None:
+    """Every product as JSON lines in the store `<path>/<name>`.
+
+    The rows of the projects in a product replace those saved before; all other
+    projects stay, also those of the same bucket.  `number` is that of a batch
+    that may be run again.
     """
-    spark = rows.sparkSession
-    new = _bucketed(rows.select(*PANEL_COLUMNS))
-    schema = T.StructType(panel_schema().fields + [T.StructField("bucket", T.IntegerType())])
-    old = _read(spark, path, schema)
-    touched = new.select("bucket").distinct()
-    kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(
-        new.select("proj_name").distinct(), "proj_name", "left_anti").select(*new.columns)
-    merged = settle(kept.unionByName(new))
-    merged.hint("rebalance", "bucket").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def write_products(products: dict[str, DataFrame], path: str) -> None:
-    """Every product as JSON lines below `<path>/<name>`, projects sharing buckets."""
     for name, rows in products.items():
-        body = F.to_json(F.struct(*rows.columns)).alias("value")
-        lines = _bucketed(rows, "project").select("bucket", body)
-        lines.hint("rebalance", "bucket").write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("bucket").text(f"{path.rstrip('/')}/{name}")
+        store.save(rows, f"{path.rstrip('/')}/{name}", [key], "json", number, **layout)
+
+
+def read_product(spark: SparkSession, path: str, name: str, schema: T.StructType | str, **key: object) -> DataFrame:
+    """A saved product of all projects, or of one (`project=...`); empty where none is saved."""
+    return store.load(spark, f"{path.rstrip('/')}/{name}", schema, "json", **key)
 
 
 def load_trials(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -143,7 +134,10 @@ def export_trials(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
     (writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path))
 
 
-def write_forecast(forecast: DataFrame, path: str) -> None:
-    """`month, close` lines by project."""
-    rows = forecast.select("project", "month", F.col("p").alias("close"))
-    rows.hint("rebalance", "project").write.mode("overwrite").option("header", True).partitionBy("project").csv(path)
+def write_forecast(forecast: DataFrame, path: str, **layout: int) -> None:
+    """`project, month, close` lines in buckets of projects; the projects of `forecast` replace their lines, others stay."""
+    store.save(forecast.select("project", "month", F.col("p").alias("close")), path, ["project"], "csv", **layout)
+
+
+def read_forecast(spark: SparkSession, path: str, **key: object) -> DataFrame:
+    return store.load(spark, path, "project string, month int, close double", "csv", **key)

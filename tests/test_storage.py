@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinweave.operators import edges, panel as panel_ops
 from kinweave.schemas import PANEL_COLUMNS, Logs
-from kinweave.sources import dims, logs, products
+from kinweave.sources import dims, logs, products, store
 from kinweave.streaming import delta, ingest
 
 
@@ -59,6 +59,61 @@ def test_panel_cache(spark, tmp_path, rows):
     assert products.load_cached(spark, path, "c").count() == 1
 
 
+def test_store_replaces_keys_and_keeps_the_rest(spark, tmp_path, rows):
+    path, kind = str(tmp_path / "t"), "k string, n int, v double"
+    frame = lambda *r: spark.createDataFrame(list(r), kind)
+    assert store.load(spark, path, kind).count() == 0
+    for fmt in ("parquet", "json", "csv"):
+        at = f"{path}-{fmt}"
+        assert store.save(frame(("a", 1, 0.5), ("b", 1, None), (None, 1, 1.0)), at, ["k"], fmt, buckets=2) == 0
+        assert store.save(frame(("a", 2, 0.5), ("c", 1, 2.0)), at, ["k"], fmt) == 1
+        want = [("a", 2, 0.5), ("b", 1, None), ("c", 1, 2.0), (None, 1, 1.0)]
+        assert rows(store.load(spark, at, kind, fmt)) == want
+        for _ in range(2):  # save 2 and save 2 again
+            store.save(frame((None, 7, 7.0), ("b", 3, 3.0)), at, ["k"], fmt, number=2)
+            assert rows(store.load(spark, at, kind, fmt)) == [("a", 2, 0.5), ("b", 3, 3.0), ("c", 1, 2.0), (None, 7, 7.0)]
+        assert rows(store.load(spark, at, kind, fmt, k="c")) == [("c", 1, 2.0)]
+        with pytest.raises(ValueError):
+            store.save(frame(("a", 1, 1.0)), at, ["k"], fmt, number=1)
+
+
+def test_store_ignores_a_save_that_broke_off(spark, tmp_path, rows):
+    path, kind = str(tmp_path / "t"), "k string, n int"
+    store.save(spark.createDataFrame([("a", 1), ("b", 1)], kind), path, ["k"], buckets=1)
+    store.save(spark.createDataFrame([("a", 2)], kind), path, ["k"])
+    (tmp_path / "t" / "save-00000001-1" / "_SUCCESS").unlink()
+    assert rows(store.load(spark, path, kind)) == [("a", 1), ("b", 1)]
+    store.save(spark.createDataFrame([("b", 5)], kind), path, ["k"])
+    assert rows(store.load(spark, path, kind)) == [("a", 1), ("b", 5)]
+
+
+def test_store_grows_and_forgets(spark, tmp_path, rows):
+    """Buckets follow the rows; after many saves only the folders of two states are left."""
+    path, kind = tmp_path / "t", "k string, n int"
+    for i in range(6):
+        some = [(f"k{j}", i) for j in range(40 * i, 40 * i + 40)] + [("k0", i)]
+        store.save(spark.createDataFrame(some, kind), str(path), ["k"], buckets=1, bucket_rows=10)
+    now = store.state(spark, str(path))
+    assert now.buckets >= 20 and store.load(spark, str(path), kind).count() == 240
+    assert rows(store.load(spark, str(path), kind, k="k0")) == [("k0", 5)]
+    assert len([f for f in path.glob("save-*/bucket=*")]) <= 2 * now.buckets + 1
+
+
+def test_products_of_other_projects_stay(spark, tmp_path, rows):
+    """proj1 and proj28 share a bucket."""
+    path, kind = str(tmp_path / "p"), "project string, month int, p double"
+    one = lambda name, p: spark.createDataFrame([(name, 0, p)], kind)
+    products.write_products({"forecast": one("proj1", 0.1), "vis": one("proj1", 1.0)}, path)
+    products.write_products({"forecast": one("proj28", 0.2)}, path)
+    assert rows(products.read_product(spark, path, "forecast", kind)) == [("proj1", 0, 0.1), ("proj28", 0, 0.2)]
+    products.write_products({"forecast": one("proj1", 0.3)}, path)
+    assert rows(products.read_product(spark, path, "forecast", kind, project="proj1")) == [("proj1", 0, 0.3)]
+    assert rows(products.read_product(spark, path, "vis", kind)) == [("proj1", 0, 1.0)]
+    products.write_forecast(one("x", 0.5), str(tmp_path / "f"))
+    products.write_forecast(one("y", 0.6), str(tmp_path / "f"))
+    assert rows(products.read_forecast(spark, str(tmp_path / "f"))) == [("x", 0, 0.5), ("y", 0, 0.6)]
+
+
 def test_panel_versions(spark, tmp_path):
     path = str(tmp_path / "panel")
     products.write_panel(panel_rows(spark, ("a", 0), ("a", 1)), path, "apache", "clean", "1-1")
