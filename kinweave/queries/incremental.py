@@ -11,7 +11,7 @@ from kinweave.queries.sqlviews import EVENTS, SOCIAL, TECH, with_ctes
 from kinweave.schemas import Logs
 from kinweave.session import settle, work_path
 from kinweave.sources import views
-from kinweave.streaming import delta, ingest
+from kinweave.streaming import delta, ingest, months, panel_store
 
 CUT = 40
 
@@ -81,36 +81,67 @@ def event_stream(spark, sf, files: int = 4):
 @query("stream_tech_edges", with_ctes(EVENTS) + """
 SELECT project, CAST(year(ts) * 12 + month(ts) - 1 AS INTEGER) AS month, subject AS file, sender AS dev, CAST(count(*) AS BIGINT) AS weight FROM event_log GROUP BY ALL""")
 def stream_tech_edges(spark, sf):
-    base = work_path(spark, "stream")
+    base, keys = work_path(spark, "stream"), ["project", "day", "file", "dev"]
     log = event_stream(spark, sf).withColumn("file", F.col("subject"))
-    ingest.upsert(ingest.stream_edges(log), f"{base}/edges", f"{base}/state").awaitTermination()
-    return ingest.monthly_edges(ingest.latest(spark, f"{base}/edges", ["project", "day", "file", "dev"]))
+    months.keep_months(ingest.stream_edges(log), base, f"{base}-state", keys, ingest.monthly_edges).awaitTermination()
+    return months.months_so_far(spark, base, keys, ingest.monthly_edges)
 
 
 @query("stream_activity", with_ctes(EVENTS) + """
 SELECT project, strftime(ts, '%Y-%m-%d') AS day, CAST(count(DISTINCT sender) AS BIGINT) AS people, CAST(count(*) AS BIGINT) AS messages FROM event_log GROUP BY ALL""")
 def stream_activity(spark, sf):
-    base = work_path(spark, "stream")
+    base, keys = work_path(spark, "stream"), ["project", "day", "dev"]
     rows = ingest.stream_activity(event_stream(spark, sf))
-    ingest.upsert(rows, f"{base}/people", f"{base}/state").awaitTermination()
-    out = ingest.active_people(ingest.latest(spark, f"{base}/people", ["project", "day", "dev"]))
-    return out.withColumn("day", F.col("day").cast("string"))
+    months.keep_months(rows, base, f"{base}-state", keys, ingest.active_people).awaitTermination()
+    return months.months_so_far(spark, base, keys, ingest.active_people).withColumn("day", F.col("day").cast("string"))
 
 
-@query("stream_ingest", with_ctes(EVENTS, """m_reply AS (
+@query("stream_closed_months", with_ctes(SOCIAL) + """
+SELECT project, CAST(year(ts) * 12 + month(ts) - 1 AS INTEGER) AS month, subject AS file, sender AS dev, CAST(count(*) AS BIGINT) AS weight FROM social_log GROUP BY ALL""")
+def stream_closed_months(spark, sf):
+    """Years of messages in order: nearly all months are closed and summed up before the stream ends."""
+    base, folder, keys = work_path(spark, "stream"), work_path(spark, "messages"), ["project", "day", "file", "dev"]
+    log = views.social_log(spark, sf).select("project", F.col("ts").cast("timestamp").alias("ts"), F.col("sender").alias("dev"),
+                                             F.col("subject").alias("file"))
+    log.repartitionByRange(4, "ts").write.parquet(folder)
+    stream = ingest.read_log_stream(spark, folder, log.schema, files_per_batch=1)
+    months.keep_months(ingest.stream_edges(stream), base, f"{base}-state", keys, ingest.monthly_edges).awaitTermination()
+    return months.months_so_far(spark, base, keys, ingest.monthly_edges)
+
+
+@query("stream_social_graph", with_ctes(EVENTS, """m_reply AS (
   SELECT *, lag(message_id) OVER (PARTITION BY project, month, subject ORDER BY ts, message_id) AS in_reply_to FROM event_log),
 m_pair AS (SELECT r.project, r.month, r.sender AS dev, i.sender AS prev_dev FROM m_reply r
   JOIN m_reply i ON i.project = r.project AND i.month = r.month AND i.message_id = r.in_reply_to WHERE i.sender <> r.sender)""") + """
 SELECT project, month, src, dst, CAST(sum(w) AS BIGINT) AS weight FROM (
   SELECT project, month, dev AS src, prev_dev AS dst, 1 AS w FROM m_pair UNION ALL SELECT project, month, prev_dev, dev, 1 FROM m_pair
   UNION ALL SELECT DISTINCT project, month, sender, sender, 0 FROM event_log) GROUP BY ALL""")
-def stream_ingest(spark, sf):
+def stream_social_graph(spark, sf):
     """Social graphs kept by micro-batches equal those of one batch run."""
     base = work_path(spark, "ingest")
     ingest.ingest_social(event_stream(spark, sf), base, f"{base}/state").awaitTermination()
     return ingest.current_graph(spark, base).select("project", F.col("month").cast("int").alias("month"), "src", "dst", "weight")
 
 
+def log_stream(spark, sf, files: int = 4):
+    """Both logs as a folder of files in time order, read as micro-batches; one row in twenty comes some 400 days late."""
+    folder = work_path(spark, "logs")
+    people = lambda df: df.withColumn("is_bot", F.lit(0)).withColumn("dev", F.col("sender"))
+    tech = people(cleaning.clean_source_files(cleaning.clean_file_paths(views.tech_log(spark, sf))))
+    rows = panel_store.as_rows(tech, people(views.social_log(spark, sf)))
+    late = F.when(F.pmod(F.xxhash64("ts", "dev", "file", "message_id"), F.lit(20)) == 0, 400).otherwise(0)
+    rows.withColumn("_due", F.date_add(F.to_date("ts"), late)).repartitionByRange(files, "_due").drop("_due").write.parquet(folder)
+    return ingest.read_log_stream(spark, folder, rows.schema, files_per_batch=1)
+
+
+@query("stream_ingest", with_ctes(*PANEL_SQL, recursive=True) + f"SELECT proj_name, month, {PANEL_SELECT} FROM panel")
+def stream_ingest(spark, sf):
+    """The panel kept by micro-batches, late rows among them, equals that of one run."""
+    base = work_path(spark, "ingest")
+    panel_store.ingest_logs(log_stream(spark, sf), base, f"{base}-state").awaitTermination()
+    return rounded(panel_store.current_panel(spark, base))
+
+
 @query("compute_job", with_ctes(*PANEL_SQL, recursive=True) + f"""
 SELECT proj_name, month, {PANEL_SELECT} FROM panel JOIN (SELECT t.project, least(t.m, s.m) AS m
   FROM (SELECT project, max(month) AS m FROM tech_m GROUP BY project) t JOIN (SELECT project, max(month) AS m FROM social_m GROUP BY project) s ON s.project = t.project) e

@@ -6,7 +6,12 @@ its own: `<path>/save-<number>-<buckets>/bucket=<b>`.  Nothing that readers use
 overwritten: a save counts once its folder has the writer's `_SUCCESS`, so one that
 broke off leaves the table as it was, and one that is run again under its number
 changes nothing.  Readers take the last complete save of each bucket.  Folders that
-the last two states do not use are deleted.  One writer at a time.
+the last two states do not use are deleted, and those that have stayed move to
+`<path>/base-<buckets>`, so that no listing grows with the number of saves.  One
+writer at a time.
+
+A table `by` a column, as a calendar month, has its values for buckets: a save then
+touches the months of its rows and no others.
 """
 
 from __future__ import annotations
@@ -43,15 +48,15 @@ def _children(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
 
 
-def _saves(spark: SparkSession, path: str) -> list[tuple[int, int, list[int]]]:
-    """(number, buckets, bucket folders) of the complete saves, in order; few, since old ones are deleted."""
+def _saves(spark: SparkSession, path: str) -> list[tuple[int, int, str, list[int]]]:
+    """(number, buckets, folder, its buckets) of the base, as number -1, and of the complete saves, in order."""
     out = []
     for name in _children(spark, path):
-        if found := re.fullmatch(r"save-(\d+)-(\d+)", name):
+        if found := re.fullmatch(r"(?:save-(\d+)|base)-(\d+)", name):
             inside = _children(spark, f"{path}/{name}")
-            if "_SUCCESS" in inside:
+            if found[1] is None or "_SUCCESS" in inside:
                 held = [int(x.removeprefix("bucket=")) for x in inside if x.startswith("bucket=")]
-                out.append((int(found[1]), int(found[2]), held))
+                out.append((int(found[1] or -1), int(found[2]), f"{path}/{name}", held))
     return sorted(out)
 
 
@@ -60,11 +65,8 @@ def state(spark: SparkSession, path: str, before: int | None = None) -> State |
     saves = [s for s in _saves(spark, path) if before is None or s[0] < before]
     if not saves:
         return None
-    number, buckets, _ = saves[-1]
-    folders = {}
-    for n, k, held in saves:
-        if k == buckets:
-            folders |= {b: f"{path}/save-{n:08d}-{k}/bucket={b}" for b in held}
+    number, buckets = saves[-1][:2]
+    folders = {b: f"{folder}/bucket={b}" for _, k, folder, held in saves if k == buckets for b in held}
     return State(number, buckets, folders)
 
 
@@ -75,14 +77,15 @@ def _read(spark: SparkSession, folders: list[str], schema: T.StructType, fmt: st
     return spark.read.format(fmt).schema(schema).options(**options).load(folders)
 
 
-def _bucket(keys: list[str], buckets: int):
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+def _bucket(keys: list[str], buckets: int, by: str | None = None):
+    return F.col(by).cast("int") if by else F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
 def load(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet", **key: object) -> DataFrame:
     """All rows, or those of one `key` (all key columns by name, as saved), read from its bucket alone.
 
-    Nothing saved yet is an empty table.
+    Nothing saved yet is an empty table.  `load_buckets` reads some buckets of a
+    table that has a column's values for buckets.
     """
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
@@ -99,13 +102,21 @@ def load(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str =
     return rows
 
 
+def load_buckets(spark: SparkSession, path: str, schema: T.StructType | str, values: list[int]) -> DataFrame:
+    """The rows whose `by` column has one of `values`; no other folder is read."""
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    now = state(spark, path.rstrip("/"))
+    return _read(spark, [now.folders[v] for v in values if v in now.folders] if now else [], schema, "parquet")
+
+
 def save(rows: DataFrame, path: str, keys: list[str], fmt: str = "parquet", number: int | None = None,
-         buckets: int = BUCKETS, bucket_rows: int = BUCKET_ROWS) -> int:
+         buckets: int = BUCKETS, bucket_rows: int = BUCKET_ROWS, by: str | None = None) -> int:
     """Replace the rows of every key in `rows`; rows of other keys stay.  Returns the number of the save.
 
     With `number`, that of a micro-batch, a repeated save does what it did before;
     a number below the last one is an error.  `buckets` counts for a new table.
-    Null keys are keys.
+    Null keys are keys.  `by` names a key with whole numbers, not null, to take for buckets.
     """
     spark, path = rows.sparkSession, path.rstrip("/")
     last = state(spark, path)
@@ -114,8 +125,8 @@ def save(rows: DataFrame, path: str, keys: list[str], fmt: str = "parquet", numb
     elif last and number < last.number:
         raise ValueError(f"save {number} comes after save {last.number}")
     before = state(spark, path, number)
-    buckets = before.buckets if before else buckets
-    new = settle(rows.withColumn("_bucket", _bucket(keys, buckets)))
+    buckets = 0 if by else before.buckets if before else buckets
+    new = settle(rows.withColumn("_bucket", _bucket(keys, buckets, by)))
     touched = [r["_bucket"] for r in new.select("_bucket").distinct().collect()]  # no more than there are buckets
     folders = [before.folders[b] for b in touched if b in before.folders] if before else []
     merged = new
@@ -123,18 +134,18 @@ def save(rows: DataFrame, path: str, keys: list[str], fmt: str = "parquet", numb
         old = _read(spark, folders, rows.schema, fmt)
         gone = new.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
         same = [old[k].eqNullSafe(gone[f"_k{i}"]) for i, k in enumerate(keys)]
-        kept = old.join(gone, same, "left_anti").withColumn("_bucket", _bucket(keys, buckets))
+        kept = old.join(gone, same, "left_anti").withColumn("_bucket", _bucket(keys, buckets, by))
         merged = kept.unionByName(new)
     _write(merged, f"{path}/save-{number:08d}-{buckets}", fmt)
     drop_table(new)
-    if fmt == "parquet":
+    if fmt == "parquet" and not by:
         now = state(spark, path)
         total = _read(spark, list(now.folders.values()), rows.schema, fmt).count()  # from the footers
         if total > 4 * bucket_rows * buckets:
             number += 1
             buckets = -(-total // bucket_rows)
             every = _read(spark, list(now.folders.values()), rows.schema, fmt)
-            _write(every.withColumn("_bucket", _bucket(keys, buckets)), f"{path}/save-{number:08d}-{buckets}", fmt)
+            _write(every.withColumn("_bucket", _bucket(keys, buckets, by)), f"{path}/save-{number:08d}-{buckets}", fmt)
     _clean(spark, path, number)
     return number
 
@@ -146,13 +157,19 @@ def _write(rows: DataFrame, folder: str, fmt: str) -> None:
 
 
 def _clean(spark: SparkSession, path: str, number: int) -> None:
-    """Delete bucket folders of neither this state nor the one before, which a repeated save reads."""
-    used = {f for s in (state(spark, path), state(spark, path, number)) if s for f in s.folders.values()}
-    fs, _ = _system(spark, path)
-    for n, k, held in _saves(spark, path):
-        folders = [f"{path}/save-{n:08d}-{k}/bucket={b}" for b in held]
-        dead = [f for f in folders if f not in used]
-        if n < number and len(dead) == len(folders):
-            dead = [f"{path}/save-{n:08d}-{k}"]
-        for f in dead:
-            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f), True)
+    """Delete bucket folders of neither this state nor the one before, which a repeated save reads; move the older ones to the base."""
+    here, past = state(spark, path), state(spark, path, number)
+    used = {f for s in (here, past) if s for f in s.folders.values()}
+    fs, base = _system(spark, f"{path}/base-{here.buckets}")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    for n, k, folder, held in _saves(spark, path):
+        stay = [b for b in held if f"{folder}/bucket={b}" in used]
+        for b in set(held) - set(stay):
+            fs.delete(at(f"{folder}/bucket={b}"), True)
+        if 0 <= n < (past.number if past else 0) and k == here.buckets:
+            fs.mkdirs(base)
+            for b in stay:  # the base holds an older state of the bucket, if any, and that is deleted by now
+                fs.rename(at(f"{folder}/bucket={b}"), at(f"{path}/base-{k}/bucket={b}"))
+            stay = []
+        if n < number and n != (past.number if past else None) and not stay and folder != f"{path}/base-{here.buckets}":
+            fs.delete(at(folder), True)

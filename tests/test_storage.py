@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinweave.operators import edges, panel as panel_ops
 from kinweave.schemas import PANEL_COLUMNS, Logs
 from kinweave.sources import dims, logs, products, store
-from kinweave.streaming import delta, ingest
+from kinweave.streaming import delta, ingest, months, panel_store
 
 
 def test_project_folder(spark, tmp_path, rows):
@@ -202,3 +202,69 @@ def test_logs_laid_out_by_hand(spark, tmp_path):
     with pytest.raises(AnalysisException):
         logs.load_logs(spark, str(tmp_path / "none"), "apache", {"tech": "1", "social": "1"})
     assert logs.log_path("/d", "apache", "tech", "7") == "/d/apache_data/commits7.parquet"
+
+
+def test_closed_months_are_summed_up_once(spark, tmp_path, rows):
+    """Fifty batches over three years: open rows stay few, each month is closed once, repeated batches change nothing."""
+    path, keys = str(tmp_path / "m"), ["project", "day", "file", "dev"]
+    kind, day = "project string, day date, file string, dev string, weight long", lambda n: dt.date(2021, 1, 1) + dt.timedelta(days=n)
+    want, closed, most = {}, [], 0
+    for number in range(50):
+        # Running counts: today's key is new, yesterday's batch gets its last value.
+        rows_of = [("p", day(22 * number), "f", f"d{number % 3}", number + 1), ("p", day(max(0, 22 * (number - 1))), "f", f"d{(number - 1) % 3}", 7)]
+        batch = spark.createDataFrame(rows_of[: 1 if number == 0 else 2], kind)
+        for _ in range(2 if number % 10 == 3 else 1):
+            over = months.add_batch(batch, number, path, keys, ingest.monthly_edges, 31)
+            closed += over
+        want |= {(r[1], r[3]): r[4] for r in rows_of[: 1 if number == 0 else 2]}
+        left = list((tmp_path / "m" / "open").glob("month=*/batch=*"))
+        most = max(most, len(left))
+    assert most <= 8 and len(closed) == len(set(closed)) >= 30
+    assert len(list((tmp_path / "m" / "seen").glob("batch=*"))) <= 2
+    sums = {}
+    for (d, dev), weight in want.items():
+        sums[d.year * 12 + d.month - 1, dev] = sums.get((d.year * 12 + d.month - 1, dev), 0) + weight
+    assert rows(months.months_so_far(spark, path, keys, ingest.monthly_edges), "month", "dev", "weight") == sorted(
+        (m, dev, w) for (m, dev), w in sums.items())
+
+
+def test_a_month_half_deleted_stays_closed(spark, tmp_path, rows):
+    path, keys, kind = str(tmp_path / "m"), ["project", "day", "dev"], "project string, day date, dev string, messages long"
+    frame = lambda *r: spark.createDataFrame(list(r), kind)
+    months.add_batch(frame(("p", dt.date(2024, 1, 3), "a", 2), ("p", dt.date(2024, 1, 3), "b", 1)), 0, path, keys, ingest.active_people, 10)
+    months.add_batch(frame(("p", dt.date(2024, 3, 3), "a", 1)), 1, path, keys, ingest.active_people, 10)
+    assert months.add_batch(frame(("p", dt.date(2024, 3, 4), "a", 1)), 2, path, keys, ingest.active_people, 10) == [2024 * 12]
+    frame(("p", dt.date(2024, 1, 3), "b", 1)).withColumn("batch", F.lit(0)).write.partitionBy("batch").parquet(f"{path}/open/month={2024 * 12}")
+    want = [("p", dt.date(2024, 1, 3), 2, 3), ("p", dt.date(2024, 3, 3), 1, 1), ("p", dt.date(2024, 3, 4), 1, 1)]
+    for _ in range(2):
+        assert rows(months.months_so_far(spark, path, keys, ingest.active_people), "project", "day", "people", "messages") == want
+        months.add_batch(frame(("p", dt.date(2024, 3, 4), "a", 1)), 3, path, keys, ingest.active_people, 10)
+
+
+def test_kept_panel_equals_batch(spark, tmp_path, rows):
+    """Graphs and panel after batches out of order, late rows and a batch run twice equal those of one run."""
+    tech, social = [], []
+    for p in "pq":
+        for m in range(5):
+            for i in range(5):
+                at = dt.datetime(2024, 1 + m, 2 + i)
+                tech.append((p, at, f"d{(i * m + i) % 4}", f"src/f{(i + m) % 3}.py"))
+                if not (p == "q" and m == 2):
+                    social.append((p, at, f"d{(i + m) % 3}", f"s{i % 2}", f"<{p}{m}{i}>"))
+    t = spark.createDataFrame(tech, "project string, ts timestamp, sender string, file string")
+    s = spark.createDataFrame([*social, ("q", dt.datetime(2023, 12, 5), "d9", "s0", "<early>")],
+                              "project string, ts timestamp, sender string, subject string, message_id string")
+    want = panel_ops.panel_from_logs(Logs(t, s))
+    flagged = t.withColumns({"dev": F.col("sender"), "is_bot": F.lit(0), "is_coding": F.lit(1)})
+    every = panel_store.as_rows(flagged, s.withColumns({"dev": F.col("sender"), "is_bot": F.lit(0)})).collect()
+    path = str(tmp_path / "k")
+    for number, part in enumerate([every[10:40], every[:5] + every[60:], [], every[5:10], every[40:60]]):
+        for _ in range(2 if number in (1, 4) else 1):
+            panel_store.add_batch(spark.createDataFrame(part, panel_store.LOG), number, path)
+    assert rows(panel_store.current_panel(spark, path)) == rows(want)
+    month = lambda df: df.withColumn("month", F.year("ts") * 12 + F.month("ts") - 1)
+    graph = edges.tech_edges(month(flagged).withColumn("file", F.col("file")))
+    assert rows(panel_store.current_edges(spark, path, "tech"), "project", "month", "file", "dev", "weight") == rows(
+        graph, "project", "month", "file", "dev", "weight")
+    assert panel_store.current_edges(spark, path, "social").where("project = 'q' AND src = 'd9'").count() == 1
+    assert len(list((tmp_path / "k" / "panel").glob("*-*"))) <= 3
