@@ -15,12 +15,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions import text
 from kinweave.functions.similarity import (
-    PREFIX_LENGTH, PREFIX_WEIGHT, jaro_winkler, segment_compatible, segments_agree, similarity,
+    PREFIX_LENGTH, PREFIX_WEIGHT, jaro_winkler_rows, segment_compatible, segments_agree_rows, similarity,
 )
 from kinweave.operators.components import connected_components
 from kinweave.operators.skew import lookup
@@ -184,12 +185,14 @@ def _refine(names: pd.DataFrame, least: float, sizes: tuple[int, int]) -> pd.Dat
     """Work is on distinct keys; names of one key score 1 with each other."""
     names = names.sort_values("name").reset_index(drop=True)
     keys, code, times = np.unique(names["key"].to_numpy(object).astype(str), return_inverse=True, return_counts=True)
+    column = pa.array(keys, pa.string())
     known: dict[int, np.ndarray] = {}
 
     def scores(i: int) -> np.ndarray:
         """Scores of a key with all keys; kept for as many as fit in some hundred MB."""
         if i not in known:
-            row = np.array([jaro_winkler(keys[i], k) for k in keys])
+            row = jaro_winkler_rows(pa.array([keys[i]] * len(keys)), column)
+            row[i] = 1.0
             if len(known) * len(keys) > 20_000_000:
                 known.clear()
             known[i] = row
@@ -213,11 +216,12 @@ def _refine(names: pd.DataFrame, least: float, sizes: tuple[int, int]) -> pd.Dat
         return names.iloc[[]]
     drop = set()
     some = [i for i, x in enumerate(left) if x]
-    for x, i in enumerate(some):
-        for j in some[x + 1:]:
-            if not segments_agree(keys[i], keys[j]):
-                gone = [i] if mean[i] < mean[j] - 1e-12 else [j] if mean[j] < mean[i] - 1e-12 else [i, j]
-                drop |= {n for g in gone for n in left[g]}
+    for x, i in enumerate(some[:-1]):
+        others = np.array(some[x + 1:])
+        agree = segments_agree_rows(pa.array([keys[i]] * len(others)), column.take(pa.array(others)))
+        for j in others[~agree].tolist():
+            gone = [i] if mean[i] < mean[j] - 1e-12 else [j] if mean[j] < mean[i] - 1e-12 else [i, j]
+            drop |= {n for g in gone for n in left[g]}
     kept = [i for i in rest if i not in drop]
     return names.iloc[kept if sizes[0] <= len(kept) <= sizes[1] else []]
 

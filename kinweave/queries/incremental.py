@@ -103,7 +103,8 @@ def stream_closed_months(spark, sf):
     base, folder, keys = work_path(spark, "stream"), work_path(spark, "messages"), ["project", "day", "file", "dev"]
     log = views.social_log(spark, sf).select("project", F.col("ts").cast("timestamp").alias("ts"), F.col("sender").alias("dev"),
                                              F.col("subject").alias("file"))
-    log.repartitionByRange(4, "ts").write.parquet(folder)
+    for first, last in ((0, 1994), (1994, 1996), (1996, 9999)):  # one file after the other, since older rows would be late
+        log.where((F.year("ts") >= first) & (F.year("ts") < last)).coalesce(1).write.mode("append").parquet(folder)
     stream = ingest.read_log_stream(spark, folder, log.schema, files_per_batch=1)
     months.keep_months(ingest.stream_edges(stream), base, f"{base}-state", keys, ingest.monthly_edges).awaitTermination()
     return months.months_so_far(spark, base, keys, ingest.monthly_edges)
@@ -123,7 +124,7 @@ def stream_social_graph(spark, sf):
     return ingest.current_graph(spark, base).select("project", F.col("month").cast("int").alias("month"), "src", "dst", "weight")
 
 
-def log_stream(spark, sf, files: int = 4):
+def log_stream(spark, sf, files: int = 3):
     """Both logs as a folder of files in time order, read as micro-batches; one row in twenty comes some 400 days late."""
     folder = work_path(spark, "logs")
     people = lambda df: df.withColumn("is_bot", F.lit(0)).withColumn("dev", F.col("sender"))

@@ -89,20 +89,50 @@ def src_social_dir(spark, sf):
 
 @query("src_dims", with_ctes(STATUS, TECH, TECH_MONTHS) + """
 SELECT 'status' AS dim, project AS key, status AS value FROM status
-UNION ALL SELECT 'length', project, CAST(max(month) + 1 AS VARCHAR) FROM tech_m GROUP BY project""")
+UNION ALL SELECT 'length', project, CAST(max(month) + 1 AS VARCHAR) FROM tech_m GROUP BY project
+UNION ALL SELECT 'start', s_name, '20' || lpad(CAST(10 + s_nationkey AS VARCHAR), 2, '0') || '-03-04 05:06:07' FROM supplier
+UNION ALL SELECT 'alias', 'proj' || (p_partkey % 10) || '/' || p_partkey, p_name FROM part
+UNION ALL SELECT 'cluster', 'proj' || (p_partkey % 10) || '/' || p_brand || '-' || (p_partkey % 10), p_brand || '-' || (p_partkey % 10) || '-' || p_partkey FROM part
+UNION ALL SELECT DISTINCT 'bot', CASE WHEN c_nationkey % 2 = 0 THEN 'part' ELSE 'whole' END, c_mktsegment || c_nationkey FROM customer
+UNION ALL SELECT 'ratio', n_name, CAST(round(n_nationkey / 4.0, 6) AS VARCHAR) FROM nation""")
 def src_dims(spark, sf):
-    """Status and length objects written as JSON text and loaded as tables."""
+    """All lookup tables written as folders of JSON objects and loaded as tables."""
     base = work_path(spark, "dims")
-    status = views.status(spark, sf).groupBy("status").agg(F.collect_list("project").alias("names"))
-    lengths = cleaning.project_length(*[numbered(spark, sf).tech] * 2)
-    as_map = lambda df, k, v: df.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(k, v)))).alias("value"))
-    as_map(status, "status", "names").coalesce(1).write.text(f"{base}/status")
-    as_map(lengths, "project", "months").coalesce(1).write.text(f"{base}/lengths")
-    s = dims.load_status(spark, f"{base}/status").select(
-        F.lit("status").alias("dim"), F.col("project").alias("key"), F.col("status").alias("value"))
-    n = dims.load_lengths(spark, f"{base}/lengths").select(
-        F.lit("length").alias("dim"), F.col("project").alias("key"), F.col("months").cast("string").alias("value"))
-    return s.unionByName(n)
+    part, customer = views.table(spark, sf, "part"), views.table(spark, sf, "customer")
+    project = F.concat(F.lit("proj"), (F.col("p_partkey") % 10).cast("string"))
+    of = lambda rows, dim, key, value: rows.select(F.lit(dim).alias("dim"), key.alias("key"), value.cast("string").alias("value"))
+    dims.save_lists(views.status(spark, sf), f"{base}/status", "status", "project", bucket_rows=4)
+    dims.save_objects(cleaning.project_length(*[numbered(spark, sf).tech] * 2), f"{base}/lengths", "project", "months", bucket_rows=4)
+    year = F.concat(F.lit("20"), F.lpad((F.col("s_nationkey") + 10).cast("string"), 2, "0"), F.lit("-03-04 05:06:07"))
+    dims.save_objects(views.table(spark, sf, "supplier").select("s_name", year.alias("start")), f"{base}/starts", "s_name", "start", bucket_rows=50)
+    dims.save_maps(part.select(project.alias("project"), F.col("p_partkey").cast("string").alias("alias"), "p_name"),
+                   f"{base}/aliases", "project", "alias", "p_name", bucket_rows=200)
+    group = F.concat("p_brand", F.lit("-"), (F.col("p_partkey") % 10).cast("string"))
+    member = F.concat(group, F.lit("-"), F.col("p_partkey").cast("string"))
+    clusters = part.groupBy(project.alias("project"), group.alias("c")).agg(F.collect_list(member).alias("names"))
+    dims.save_lists(clusters, f"{base}/clusters", "project", "names", bucket_rows=20)
+    bots = customer.select(F.when(F.col("c_nationkey") % 2 == 0, "substring-bots").otherwise("project-bots").alias("kind"),
+                           F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("name")).distinct()
+    dims.save_lists(bots, f"{base}/bots", "kind", "name", bucket_rows=30)
+    ratio = F.struct((F.col("n_nationkey") / 4).alias("ratio"), F.lit(1.0).alias("tech"), F.lit(1.0).alias("social"))
+    nations = views.table(spark, sf, "nation").select(F.lit("prof").alias("profile"), "n_name", ratio.alias("r"))
+    dims.save_maps(nations, f"{base}/ratios", "profile", "n_name", "r", bucket_rows=10)
+    loaded = [
+        of(dims.load_status(spark, f"{base}/status"), "status", F.col("project"), F.col("status")),
+        of(dims.load_lengths(spark, f"{base}/lengths"), "length", F.col("project"), F.col("months")),
+        of(dims.load_starts(spark, f"{base}/starts"), "start", F.col("project"), F.date_format("start", "yyyy-MM-dd HH:mm:ss")),
+        of(dims.load_aliases(spark, f"{base}/aliases"), "alias", F.concat_ws("/", "project", "name"), F.col("full_name")),
+        of(dims.load_clusters(spark, f"{base}/clusters"), "cluster", F.concat(
+            "project", F.lit("/"), F.regexp_replace("cluster", "-[0-9]+$", "")), F.col("name")),
+        of(spark.createDataFrame([(k, n) for k, names in zip(("part", "whole"), dims.load_bot_names(spark, f"{base}/bots")) for n in names],
+                                 "kind string, name string"), "bot", F.col("kind"), F.col("name")),
+        of(spark.createDataFrame(list(dims.load_ratios(spark, f"{base}/ratios", "prof").items()), "n string, r double"),
+           "ratio", F.col("n"), F.round("r", 6)),
+    ]
+    out = loaded[0]
+    for rows in loaded[1:]:
+        out = out.unionByName(rows)
+    return out
 
 
 @query("snk_month_slices", with_ctes(TECH, TECH_MONTHS) + """

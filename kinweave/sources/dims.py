@@ -1,7 +1,9 @@
-"""Small lookup tables kept as JSON objects.
+"""Lookup tables kept as JSON objects.
 
-Each file is one JSON object by format, a few hundred entries; it is parsed as
-one value and exploded, and from then on is an ordinary table.
+A path is one file with one object, as the tables are handed in, or a folder of
+objects, as `save_objects` writes them: keys are dealt to buckets by a hash, each
+bucket is one object, and loading reads the objects of all files side by side.  An
+object is parsed as one value and exploded, and from then on is an ordinary table.
 """
 
 from __future__ import annotations
@@ -10,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Keys of one object.
+BUCKET_ROWS = 10_000
+
+
 def _object(spark: SparkSession, path: str, kind: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True)
     return raw.select(F.from_json("value", kind).alias("o"))
@@ -54,9 +60,11 @@ def load_ratios(spark: SparkSession, path: str, profile: str) -> dict[str, float
 
 def load_bot_names(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
     """(name parts, whole names) that mark automatic accounts."""
-    first = _object(spark, path, "map<string,array<string>>").first()
-    lists = (first["o"] if first else None) or {}
-    return list(lists.get("substring-bots", [])), list(lists.get("project-bots", []))
+    rows = _object(spark, path, "map<string,array<string>>").select(F.explode("o").alias("kind", "names"))
+    lists: dict[str, list[str]] = {}
+    for r in rows.select("kind", F.explode("names").alias("name")).distinct().collect():
+        lists.setdefault(r["kind"], []).append(r["name"])
+    return sorted(lists.get("substring-bots", [])), sorted(lists.get("project-bots", []))
 
 
 def load_extensions(spark: SparkSession, path: str) -> list[str]:
@@ -66,7 +74,31 @@ def load_extensions(spark: SparkSession, path: str) -> list[str]:
     return sorted(r["e"] for r in kept.distinct().collect())
 
 
-def save_object(rows: DataFrame, path: str, key: str, value: str) -> None:
-    """(key, value) rows as JSON lines; one object per row keeps the write parallel."""
-    rows.select(F.to_json(F.struct(F.col(key).alias("key"), F.col(value).alias("value"))).alias("value")).write.mode(
-        "overwrite").text(path)
+def save_objects(rows: DataFrame, path: str, key: str, value: str, bucket_rows: int = BUCKET_ROWS) -> None:
+    """One JSON object {key: value} per bucket of about `bucket_rows` keys; keys are not null and do not repeat."""
+    buckets = max(1, -(-rows.count() // bucket_rows))
+    object_of = F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), F.col(value)))))
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket")
+    _write_objects(rows.groupBy(bucket).agg(object_of.alias("value")), path)
+
+
+def save_lists(rows: DataFrame, path: str, key: str, value: str, bucket_rows: int = BUCKET_ROWS) -> None:
+    """JSON objects {key: [values]}; a key with many values stands in several objects."""
+    buckets = max(1, -(-rows.count() // bucket_rows))
+    part = F.pmod(F.xxhash64(value), F.lit(buckets)).alias("bucket")
+    lists = rows.groupBy(part, key).agg(F.collect_list(value).alias("names"))
+    object_of = F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), "names"))))
+    _write_objects(lists.groupBy("bucket").agg(object_of.alias("value")), path)
+
+
+def save_maps(rows: DataFrame, path: str, key: str, name: str, value: str, bucket_rows: int = BUCKET_ROWS) -> None:
+    """JSON objects {key: {name: value}}; a key with many names stands in several objects."""
+    buckets = max(1, -(-rows.count() // bucket_rows))
+    part = F.pmod(F.xxhash64(key, name), F.lit(buckets)).alias("bucket")
+    maps = rows.groupBy(part, key).agg(F.map_from_entries(F.collect_list(F.struct(name, value))).alias("names"))
+    object_of = F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), "names"))))
+    _write_objects(maps.groupBy("bucket").agg(object_of.alias("value")), path)
+
+
+def _write_objects(objects: DataFrame, path: str) -> None:
+    objects.select("bucket", "value").write.mode("overwrite").partitionBy("bucket").option("lineSep", "\n").text(path)

@@ -2,11 +2,12 @@ import itertools
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kinweave.functions.similarity import jaro_winkler, segments_agree
+from kinweave.functions.similarity import jaro_winkler, jaro_winkler_rows, segments_agree, segments_agree_rows
 from kinweave.operators import identity
 from kinweave.schemas import Logs
 
@@ -20,6 +21,14 @@ def test_measure(a, b):
     assert jaro_winkler(a, b) == pytest.approx(want, abs=1e-12)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text("abAB cé\U0001F600", max_size=20) | st.text("ab", min_size=55, max_size=150), st.text("abAB cé\U0001F600", max_size=20) | st.text("ab", max_size=90)), max_size=30))
+def test_rows_at_once_equal_one_by_one(pairs):
+    a, b = (pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1))
+    assert jaro_winkler_rows(a, b).tolist() == [jaro_winkler(*p) for p in pairs]
+    assert segments_agree_rows(a, b).tolist() == [segments_agree(*p) for p in pairs]
+
+
 def test_measure_edges():
     assert jaro_winkler("", "") == 0 and jaro_winkler("a", "") == 0 and jaro_winkler("a", "a") == 1
     assert segments_agree("robert yates", "robert yats") and not segments_agree("robert yates", "robert butts")
