@@ -10,6 +10,7 @@ earlier shards of a part, so no 64-bit offset is kept per document.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 
@@ -73,14 +74,20 @@ class EliasFano:
         one = byte * 8 + (word & -word).bit_length() - 1
         return ((one - i) << self.width) | self._low(i)
 
-    def select_all(self) -> np.ndarray:
-        """Every value in order."""
-        if not self.n:
-            return np.zeros(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.width]
-        low = bits.reshape(self.n, self.width).astype(np.int64) @ (1 << np.arange(self.width, dtype=np.int64))
-        return ((ones - np.arange(self.n)) << self.width) | low
+    def select_block(self, block: int) -> np.ndarray:
+        """The values from `block * SAMPLE` on, up to `SAMPLE` of them, from the bits between two samples."""
+        first = block * SAMPLE
+        last = min(self.n, first + SAMPLE)
+        samples = np.frombuffer(self.samples, "<u4")
+        begin = int(samples[block])
+        end = int(samples[block + 1]) if block + 1 < len(samples) else 8 * len(self.high)
+        bits = np.unpackbits(np.frombuffer(self.high, np.uint8)[begin // 8: -(-end // 8)], bitorder="little")
+        ones = np.flatnonzero(bits) + begin // 8 * 8
+        ones = ones[ones >= begin][: last - first]
+        at = first * self.width
+        low = np.unpackbits(np.frombuffer(self.low, np.uint8)[at // 8: -(-last * self.width // 8)], bitorder="little")
+        low = low[at % 8: at % 8 + (last - first) * self.width].reshape(last - first, self.width).astype(np.int64)
+        return ((ones - np.arange(first, last)) << self.width) | (low @ (1 << np.arange(self.width, dtype=np.int64)))
 
 
 SHARD = ("part int, seq long, before long, n_docs long, n_ids long, id_bytes int, "
@@ -93,8 +100,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
 
     The tokenizers library encodes the distinct words of each slice; that equals
     encoding whole texts because the tokenizer has no normalizer and cuts texts
-    by the pattern of `words` first (checked).  Strings of special tokens are
-    ordinary text.  Null ids come first; rows with one id are ordered by a hash
+    by the pattern of `words` first (checked).  Texts that hold the string of a
+    special token are given to the library whole, and the token is one id.  Null ids come first; rows with one id are ordered by a hash
     of their text.  Null and empty texts have only the end id.  Other columns are
     left out; an empty table gives an empty file.
     """
@@ -114,10 +121,17 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
             cutter = spec["pre_tokenizer"] or {}
             if spec["normalizer"] or cutter.get("type") != "ByteLevel" or not cutter.get("use_regex") or cutter.get("add_prefix_space"):
                 raise ValueError("the tokenizer must cut words by the byte-level pattern and nothing else")
-            tok.encode_special_tokens = True
-            return tok, {}
+            # A special token that stands in a text is one id, as the library has it by default.
+            special = [t["content"] for t in spec.get("added_tokens") or []]
+            return tok, {}, re.compile("|".join(map(re.escape, special))) if special else None
 
-        tok, known = cached(f"tokenizer {tokenizer}", load)
+        tok, known, special = cached(f"tokenizer {tokenizer}", load)
+
+        def apart(texts: list[str | None]) -> tuple[list[str | None], dict[int, np.ndarray]]:
+            """The texts without those that hold a special token, and the ids of these, by place."""
+            found = {k: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4")
+                     for k, t in enumerate(texts) if t and special and special.search(t)}
+            return [None if k in found else t for k, t in enumerate(texts)], found
 
         def new_words(new: list[bytes]) -> list[bytes]:
             found = tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
@@ -147,8 +161,17 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
         for batch in batches:
             names = batch.column(0).to_pylist()
             open_row = -1
-            for rows, parts in ((rows + first, parts) for first, texts in sliced(batch.column(1), SLICE)
-                                for rows, parts in ((np.array(r), p) for r, p in pieces(texts))):
+            whole: dict[int, np.ndarray] = {}
+
+            def slices() -> Iterator[tuple[np.ndarray, list[str]]]:
+                for first, texts in sliced(batch.column(1), SLICE):
+                    texts, found = apart(texts)
+                    whole.clear()
+                    whole.update({first + k: ids for k, ids in found.items()})
+                    for r, p in pieces(texts):
+                        yield np.array(r) + first, p
+
+            for rows, parts in slices():
                 found, counts = words(parts)
                 at, data = stream(encode_words(found, known, new_words))
                 at = at[counts] // 4
@@ -165,8 +188,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
                                 seq, before = seq + 1, before + size
                                 held_docs, held, ends, size = [], [], [], 0
                         open_row = row
-                    held.append(ids[at[k]: at[k + 1]])
-                    size += int(at[k + 1] - at[k])
+                    held.append(whole[row] if row in whole else ids[at[k]: at[k + 1]])
+                    size += len(held[-1])
             if open_row >= 0:
                 held.append(np.array(end, "<u4"))
                 size += len(end)
@@ -202,13 +225,20 @@ def read_shards(shards: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
                 get = lambda name: row[name].as_py()
-                ends = EliasFano(get("n_docs"), get("ef_width"), get("ef_low"), get("ef_high"), get("ef_samples")).select_all()
-                starts = np.concatenate([[0], ends[:-1]])
-                ids = np.frombuffer(get("ids"), "<u2" if get("id_bytes") == 2 else "<u4").astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([
-                    row["doc_ids"].values, pa.array(starts + get("base"), pa.int64()), pa.array(ends - starts, pa.int64()),
-                    pa.array([ids[4 * a: 4 * b] for a, b in zip(starts, ends)], pa.binary()),
-                ], names=["doc_id", "start", "n_tokens", "ids"])
+                ends = EliasFano(get("n_docs"), get("ef_width"), get("ef_low"), get("ef_high"), get("ef_samples"))
+                kind, base, ids = "<u2" if get("id_bytes") == 2 else "<u4", get("base"), row["ids"].as_buffer()
+                before = 0
+                for block in range(-(-ends.n // SAMPLE)):
+                    # The ends of a block of documents come from the select structure; the shard's are never a table.
+                    some = ends.select_block(block)
+                    starts = np.concatenate([[before], some[:-1]])
+                    held = np.frombuffer(ids, kind)[before: some[-1]].astype("<u4").tobytes()
+                    yield pa.RecordBatch.from_arrays([
+                        row["doc_ids"].values.slice(block * SAMPLE, len(some)), pa.array(starts + base, pa.int64()),
+                        pa.array(some - starts, pa.int64()),
+                        pa.array([held[4 * (a - before): 4 * (b - before)] for a, b in zip(starts, some)], pa.binary()),
+                    ], names=["doc_id", "start", "n_tokens", "ids"])
+                    before = int(some[-1])
 
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("_kw_n"))  # one row per part file
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,6 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -78,15 +77,18 @@ def test_elias_fano():
     for top, n in [(0, 1), (5, 3), (10, 700), (10**9, 1000), (10**6, 5)]:
         values = np.sort(draw.integers(0, top + 1, n))
         ef = token_files.EliasFano.of(values)
-        assert ef.select_all().tolist() == values.tolist() == [ef.select(i) for i in range(n)]
+        blocks = [v for b in range(-(-n // token_files.SAMPLE)) for v in ef.select_block(b).tolist()]
+        assert blocks == values.tolist() == [ef.select(i) for i in range(n)]
         assert 8 * (len(ef.low) + len(ef.high)) <= n * (2 + max(0, int(np.log2(top / n + 1e-9)) + 1)) + 24
-    assert token_files.EliasFano.of(np.zeros(0)).select_all().tolist() == []
+    assert token_files.EliasFano.of(np.zeros(0)).n == 0
 
 
 @pytest.mark.parametrize("shard_ids", [50, 1 << 18])
 def test_token_files(spark, odd, empty, shard_ids):
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
+    special = spark.createDataFrame([(50, "a <|endoftext|> b"), (51, "<|endoftext|><|endoftext|>"), (52, "<|endoftext|")], "doc_id long, text string")
+    odd = odd.unionByName(special, allowMissingColumns=True)
+    assert tok.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     shards = token_files.write_shards(odd, JSON, work_path(spark, "tokens"), shard_ids=shard_ids)
     got = token_files.read_shards(shards).orderBy("start").collect()
     texts = sorted(((r["doc_id"], r["text"]) for r in odd.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
@@ -101,10 +103,3 @@ def test_token_files(spark, odd, empty, shard_ids):
     for i in ids:
         assert sorted(zlib.crc32(r["ids"]) for r in got if r["doc_id"] == i) == sorted(map(zlib.crc32, ids[i]))
     assert token_files.read_shards(token_files.write_shards(empty, JSON, work_path(spark, "tokens"))).count() == 0
-
-
-def test_special_strings_are_ordinary_text(encoding):
-    tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
-    assert tok.encode("<|endoftext|>", add_special_tokens=False).ids == encoding.encode_ordinary("<|endoftext|>")
-    assert pa.array([1]).type == pa.int64()
