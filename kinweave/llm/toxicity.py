@@ -77,8 +77,9 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
 class Model:
     """Token scores, the score of all other tokens, lambda, K and the logistic curve.
 
-    The k-th use of a token in a text scores the k-th part, so that one word
-    repeated over and over is weak evidence.
+    Passages are scanned on plain scores, so equal passages are all found.  What
+    the curve sees of a text counts the k-th use of a token for the k-th part:
+    one word repeated over and over is weak evidence.
     """
 
     scores: dict[str, float]
@@ -88,20 +89,22 @@ class Model:
     curve: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     e_value: float = E_VALUE
 
-    def passages(self, words: list[str]) -> list[tuple[int, int, float, float]]:
-        """(first token, last + 1, score, E-value) of the significant segments."""
+    def passages(self, words: list[str]) -> list[tuple[int, int, float, float, float]]:
+        """(first token, last + 1, score, E-value, E-value with repeated tokens counted less) of the significant segments."""
         get = self.scores.get
         hits = [i for i, w in enumerate(words) if w in self.scores]
         if not hits:
             return []
-        items, places, last = [], [], None
+        items, less, places, last = [], [], [], None
         used: Counter[str] = Counter()
         for i in hits:
             if last is not None and i - last > 1:
                 items.append((i - last - 1) * self.rest)
+                less.append(items[-1])
                 places.append((last + 1, i))
             used[words[i]] += 1
-            items.append(get(words[i]) / used[words[i]])
+            items.append(get(words[i]))
+            less.append(items[-1] / used[words[i]])
             places.append((i, i + 1))
             last = i
         base = self.k * max(1, len(words))
@@ -109,7 +112,8 @@ class Model:
         for a, b, score in maximal_segments(items):
             expected = base * math.exp(-min(700.0, self.decay * score))
             if expected <= self.e_value:
-                out.append((places[a][0], places[b - 1][1], score, expected))
+                held = base * math.exp(-min(700.0, self.decay * max(0.0, sum(less[a:b]))))
+                out.append((places[a][0], places[b - 1][1], score, expected, held))
         return out
 
     def probability(self, expected: list[float], size: int) -> float:
@@ -119,7 +123,7 @@ class Model:
 
 def evidence(expected: list[float], size: int) -> tuple[float, float, float, float]:
     """What the logistic curve sees of a text: the sum and the best of its evidence, its length, and one."""
-    found = [-math.log(max(e, 1e-300)) for e in expected]
+    found = [max(0.0, -math.log(max(e, 1e-300))) for e in expected]
     return math.log1p(max(0.0, sum(found))), math.log1p(max(0.0, max(found, default=0.0))), math.log1p(size), 1.0
 
 
@@ -216,13 +220,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
             out = []
             for text_, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = tokens(text_)
-                out.append({"y": y, "n": len(words), "e": [p[3] for p in k_model.passages(words)]})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("y", pa.int32()), ("n", pa.int64()), ("e", pa.list_(pa.float64()))]))
+                found = k_model.passages(words)
+                out.append({"y": y, "n": len(words), "e": [p[3] for p in found], "less": [p[4] for p in found]})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
+                ("y", pa.int32()), ("n", pa.int64()), ("e", pa.list_(pa.float64())), ("less", pa.list_(pa.float64()))]))
 
-    seen = held.mapInArrow(measure, "y int, n long, e array<double>").collect()  # at most a quarter of `most` rows
+    seen = held.mapInArrow(measure, "y int, n long, e array<double>, less array<double>").collect()  # at most a quarter of `most` rows
     tops = [min(r["e"]) if r["e"] else r["n"] for r in seen if r["y"] == 0 and r["n"]]
     model.k = min(1.0, 1 / max(1e-9, float(np.mean(tops)))) if tops else 1.0
-    x = [evidence([model.k * e for e in r["e"] if model.k * e <= cut], r["n"]) for r in seen]
+    x = [evidence([model.k * h for e, h in zip(r["e"], r["less"]) if model.k * e <= cut], r["n"]) for r in seen]
     model.curve = _logistic(np.array(x).reshape(-1, 4), np.array([r["y"] for r in seen], float))
     return model
 
@@ -260,8 +266,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for text_ in (t for _, texts in sliced(batch, SLICE) for t in texts):
                 words = tokens(text_)
                 found = known.passages(words)
-                out.append({"p": known.probability([f[3] for f in found], len(words)), "s": [
-                    {"start": a, "end": b, "score": s, "e_value": e} for a, b, s, e in found]})
+                out.append({"p": known.probability([f[4] for f in found], len(words)), "s": [
+                    {"start": a, "end": b, "score": s, "e_value": e} for a, b, s, e, _ in found]})
             yield pa.array(out, kind)
 
     return docs.withColumn("_kw_t", scan(F.col(text))).select(

@@ -65,6 +65,20 @@ def test_toxic_documents_are_found(spark):
         assert any(set(words[p["start"]: p["end"]]) & set(model.scores) for p in got[i]["passages"])
 
 
+def test_equal_passages_are_all_found(spark):
+    """Six equal toxic passages far from each other are six passages, and each is found by the plain odds of its words."""
+    docs, labels, _ = corpus(spark)
+    model = toxicity.fit(docs, labels)
+    plain = sum(model.scores[w] for w in ("grim", "vile", "foul"))
+    far = int(2 * plain / -model.rest) + 10  # neutral words that cost more than a passage scores
+    words = [f"word{i % 300}" for i in range(6 * far)]
+    for k in range(6):
+        words[far * k + 5: far * k + 8] = ["grim", "vile", "foul"]
+    row = toxicity.score(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), model).first()
+    assert [(p["start"], p["end"]) for p in row["passages"]] == [(far * k + 5, far * k + 8) for k in range(6)]
+    assert all(p["score"] == pytest.approx(plain) for p in row["passages"]) and row["toxicity"] >= 0.5
+
+
 def test_toxicity_of_odd_documents(spark, odd, empty):
     docs, labels, _ = corpus(spark, 200)
     model = toxicity.fit(docs, labels)
@@ -124,3 +138,20 @@ def test_languages(spark, odd, empty):
         assert (r["lang_pred"] == "und") == (not letters) and 0 <= r["lang_score"] <= 1
     assert language.predict(empty, model).count() == 0
     assert language.predict(docs, language.fit(empty)).select("lang_pred").distinct().collect()[0][0] == "und"
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    """All texts of cc are beyond the preferred length; one language has a single row."""
+    draw = random.Random(9)
+    sounds = {"aa": ["ka", "ti", "mo"], "bb": ["sch", "lu", "öß"], "cc": ["ée", "oux", "zi"], "dd": ["wry", "gwn"]}
+
+    def text(k, words):
+        return " ".join("".join(draw.choice(sounds[k]) for _ in range(3)) for _ in range(words))
+
+    rows = [(i, text("ab"[i % 2] * 2, 30), "ab"[i % 2] * 2) for i in range(120)]
+    rows += [(200 + i, text("cc", 500), "cc") for i in range(40)] + [(300, text("dd", 40), "dd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, most=80, max_chars=1000)
+    assert model["names"] == ["aa", "bb", "cc", "dd"]
+    got = language.predict(docs, model)
+    assert got.where("lang = lang_pred").count() == 161
