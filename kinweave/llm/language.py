@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.worker import cached, sliced
@@ -25,8 +25,8 @@ from kinweave.session import settle, ship_functions
 ship_functions(__name__)
 
 BUCKETS = 1 << 16
-#: Labelled documents that weights are fitted on, at most, and the length up to which a text may be among
-#: them; they are drawn by a hash of their id, evenly over the languages.
+#: Labelled documents that weights are fitted on, at most, drawn by a hash of their id, evenly over the
+#: languages; and the length up to which texts are preferred for it.
 MAX_SAMPLE, MAX_CHARS = 4_000, 20_000
 EPOCHS = 3
 #: FTRL: learning rate, its offset, L1 and L2 penalties; features are multiplied by SCALE.
@@ -108,9 +108,10 @@ def fit(docs: DataFrame, learn: Column | None = None, text: str = "text", lang:
         most: int = MAX_SAMPLE, max_chars: int = MAX_CHARS) -> dict:
     """A model from the documents that `learn` selects: languages, weights, idf, temperature.
 
-    Rows without text or language are left out.  Document frequencies are counted
-    over all of them; weights come from at most `most` of them of at most
-    `max_chars` code points, drawn by a hash of `key` and the text.
+    Rows without text or language are left out.  Languages and document frequencies
+    are those of all rows; weights come from an equal share of `most` rows for
+    each language, drawn by a hash of `key` and the text from those of up to
+    `max_chars` code points, or from all where a language has too few of these.
     """
     rows = docs.where(F.lit(True) if learn is None else learn).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     rows = rows.select(F.col(text).alias("_kw_text"), F.col(lang).cast("string").alias("_kw_lang"),
@@ -136,15 +137,18 @@ def fit(docs: DataFrame, learn: Column | None = None, text: str = "text", lang:
         df[r["bucket"]] = r["n"]
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
 
-    short = rows.where(F.length("_kw_text") <= max_chars)
-    per = {r["_kw_lang"]: r["n"] for r in short.groupBy("_kw_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    short = F.length("_kw_text") <= max_chars
+    per = {r["_kw_lang"]: (r["short"], r["n"]) for r in rows.groupBy("_kw_lang").agg(
+        F.sum(short.cast("long")).alias("short"), F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(per)
     if not names:
         return {"names": []}
     quota = max(1, most // len(names))
+    few = [k for k in names if per[k][0] < min(quota, per[k][1])]  # their whole long texts are drawn from too
     width = 1 << 30
-    limits = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(min(width, int(1.1 * width * quota / per[k]) + 1)))])
-    drawn = short.where(F.pmod(F.col("_kw_hash"), F.lit(width)) < limits[F.col("_kw_lang")])
+    limits = F.create_map(*[x for k in names for x in (
+        F.lit(k), F.lit(min(width, int(1.1 * width * quota / per[k][k in few]) + 1)))])
+    drawn = rows.where(short | F.col("_kw_lang").isin(few)).where(F.pmod(F.col("_kw_hash"), F.lit(width)) < limits[F.col("_kw_lang")])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,16 +158,17 @@ def fit(docs: DataFrame, learn: Column | None = None, text: str = "text", lang:
                 pa.array([c.astype("<i4").tobytes() for _, c in found], pa.binary())], names=["lang", "h", "f", "c"])
 
     drawn = settle(drawn.mapInArrow(features, "lang string, h long, f binary, c binary"))
-    sample = drawn.orderBy(F.xxhash64("h"), "h").limit(most).collect()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h"))  # some 1.1 quotas per language
+    sample = drawn.withColumn("place", place).where(F.col("place") <= quota).orderBy(F.xxhash64("h"), "h", "lang").collect()
     code = {k: i for i, k in enumerate(names)}
-    data = []
+    used, held = [], []
     for r in sample:
         at, count = np.frombuffer(r["f"], "<i4"), np.frombuffer(r["c"], "<i4")
         at, count = at[at < BUCKETS].astype(np.int64), count[at < BUCKETS]
         x = SCALE * count / max(1, count.sum()) * idf[at]
-        data.append((np.append(at, BUCKETS), np.append(x, 1.0), code[r["lang"]]))  # with a constant
-    held, used = data[::5], [d for i, d in enumerate(data) if i % 5]
-    w = ftrl(used or data, len(names), BUCKETS + 1)
+        # Every fifth text of a language calibrates; the constant is a feature of its own.
+        (held if r["place"] % 5 == 0 else used).append((np.append(at, BUCKETS), np.append(x, 1.0), code[r["lang"]]))
+    w = ftrl(used, len(names), BUCKETS + 1)
     logits = np.array([x @ w[at] for at, x, _ in held]).reshape(len(held), len(names))
     heat = temperature(logits, np.array([y for *_, y in held], np.int64))
     return {"names": names, "weights": (SCALE * w[:BUCKETS] * idf[:, None] / heat).astype(np.float32),
