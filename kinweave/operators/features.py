@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.functions import bitmaps
 from kinweave.operators.components import SMALL_GRAPH, connected_components
+from kinweave.operators.ordering import row_numbers
 from kinweave.operators.skew import HOT_ROWS, lookup
+from kinweave.session import settle, ship_functions
+
+ship_functions(__name__)
 
 SLICE = ["project", "month"]
 
@@ -54,35 +64,65 @@ def social_features(edges: DataFrame) -> DataFrame:
         F.when(n > 1, F.col("e") / (n * (n - 1))).otherwise(F.lit(0.0)).alias("s_graph_density"))
 
 
+def _corner_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(project, month, code, t) of a batch of edges (project, month, lo, hi, near, far): triangles per corner, summed up."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        project, month = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+        code = pc.fill_null(project.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        slices, of = np.unique(np.stack([code, month]), axis=1, return_inverse=True)
+        of = of.reshape(-1)
+        row, w, m = bitmaps.common(batch.column(4), batch.column(5))
+        count = np.bincount(row, np.bitwise_count(m), batch.num_rows).astype(np.int64)
+        group, top, times = bitmaps.members(of[row], w, m)
+        ends = [batch.column(k).to_numpy().astype(np.int64) for k in (2, 3)]
+        key = np.stack([np.concatenate([of, of, group]), np.concatenate([*ends, top])])
+        total = np.concatenate([count, count, times])
+        some = total > 0
+        if not some.any():
+            continue
+        corner, where = np.unique(key[:, some], axis=1, return_inverse=True)
+        t = np.bincount(where.reshape(-1), total[some]).astype(np.int64)
+        names = project.dictionary.take(pa.array(slices[0][corner[0]], mask=slices[0][corner[0]] < 0))
+        yield pa.RecordBatch.from_arrays(
+            [names, pa.array(slices[1][corner[0]].astype(np.int32)), pa.array(corner[1]), pa.array(t)],
+            names=["project", "month", "code", "t"])
+
+
 def node_triangles(edges: DataFrame, hot_rows: int = HOT_ROWS, total: int | None = None) -> DataFrame:
     """Degree and triangles of every node that has a neighbour.
 
-    Edges point from the lower to the higher (degree, name), which keeps each
-    out-list below the square root of twice the edges, hub or not.  Triangles
-    come from intersecting the lists at the two ends of an edge; open pairs of
-    neighbours are never formed.  `edges` holds each edge once in either
-    direction, as the social graph does.
+    Nodes are numbered by (degree, name) in their month and edges point from the
+    lower to the higher number, which keeps each out-list below the square root of
+    twice the edges, hub or not.  Out-lists are sparse bitmaps; those at the two
+    ends of an edge are intersected and counted in tasks, which pass on one sum per
+    node and batch: neither open pairs nor triangles are ever rows.  `edges` holds
+    each edge once in either direction, as the social graph does.
     """
     both = edges.where("src <> dst").select(*SLICE, F.col("src").alias("u"), F.col("dst").alias("v"))
-    degree = both.groupBy(*SLICE, "u").agg(F.count(F.lit(1)).alias("_n")).withColumn("k", F.col("_n"))
-    known = lookup(both, degree, [*SLICE, "u"], "_n", hot_rows, total=total)
+    degree = both.groupBy(*SLICE, "u").agg(F.count(F.lit(1)).alias("_n"))
+    coded = row_numbers(degree.withColumn("k", F.col("_n")), SLICE, ["k", "u"], "code")
+    coded = settle(coded.withColumn("code", F.col("code").cast("long")))
+    known = lookup(both, coded.select(*SLICE, "u", "_n", "code"), [*SLICE, "u"], "_n", hot_rows, total=total)
     first = F.col("u") < F.col("v")
-    sized = known.groupBy(*SLICE, F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(
-        F.max(F.when(first, F.col("k"))).alias("ka"), F.max(F.when(~first, F.col("k"))).alias("kb"))
-    up = F.struct("ka", "a") < F.struct("kb", "b")
-    aimed = sized.select(
-        *SLICE, F.when(up, F.col("a")).otherwise(F.col("b")).alias("lo"),
-        F.when(up, F.col("b")).otherwise(F.col("a")).alias("hi"))
-    out = aimed.groupBy(*SLICE, "lo").agg(F.collect_list("hi").alias("out"))
-    step = out.select(*SLICE, "lo", "out", F.explode("out").alias("hi")).where(F.size("out") > 1)
-    third = step.join(
-        out.select(*SLICE, F.col("lo").alias("hi"), F.col("out").alias("far")), [*SLICE, "hi"]
-    ).select(*SLICE, "lo", "hi", F.explode(F.array_intersect("out", "far")).alias("top"))
-    corners = third.select(*SLICE, F.explode(F.array("lo", "hi", "top")).alias("u"))
-    counts = corners.groupBy(*SLICE, "u").agg(F.count(F.lit(1)).alias("t"))
-    return degree.join(counts, [*SLICE, "u"], "left").select(
-        *SLICE, F.col("u").alias("node"), F.col("k").alias("degree"),
-        F.coalesce("t", F.lit(0)).alias("triangles"))
+    ends = known.groupBy(*SLICE, F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(
+        F.max(F.when(first, F.col("code"))).alias("ca"), F.max(F.when(~first, F.col("code"))).alias("cb"))
+    aimed = settle(ends.select(*SLICE, F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")))
+    word = F.shiftright("hi", 6).cast("int").alias("w")
+    mask = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("hi").bitwiseAND(F.lit(63)).cast("int"))).alias("m")
+    lists = aimed.groupBy(*SLICE, "lo", word).agg(mask, F.count(F.lit(1)).alias("_out")).groupBy(*SLICE, "lo").agg(
+        F.sort_array(F.collect_list(F.struct("w", "m"))).alias("bits"), F.sum("_out").alias("_out"))
+    lists = settle(lists)
+    # A triangle's lowest corner has two edges out, its middle one an edge out.
+    near = lists.where("_out > 1").select(*SLICE, "lo", F.col("bits").alias("near"))
+    far = lists.select(*SLICE, F.col("lo").alias("hi"), F.col("bits").alias("far"))
+    met = aimed.join(near, [*SLICE, "lo"]).join(far, [*SLICE, "hi"]).select(*SLICE, "lo", "hi", "near", "far")
+    kinds = dict(edges.dtypes)
+    counts = met.mapInArrow(_corner_counts, f"project {kinds['project']}, month int, code long, t long").groupBy(
+        *SLICE, "code").agg(F.sum("t").alias("t"))
+    return coded.join(counts, [*SLICE, "code"], "left").select(
+        *SLICE, F.col("u").alias("node"), F.col("k").alias("degree"), F.coalesce("t", F.lit(0)).alias("triangles"))
 
 
 def clustering_sums(edges: DataFrame, hot_rows: int = HOT_ROWS, total: int | None = None) -> DataFrame:
