@@ -1,7 +1,8 @@
 """Connected components of many graphs at once.
 
-A graph of up to `small` edges is finished inside one task: one shuffle by
-graph, no rounds.  Larger graphs are rare (at most edges / small of them) and go
+Each task first contracts its part of the edges to stars, at most one row per node
+and task, on whole-number codes.  A graph whose stars are up to `small` rows is
+finished inside one task: one shuffle by graph, no rounds.  Larger graphs go
 through rounds of large-star and small-star steps (Kiveris et al., SoCC 2014),
 which need a number of rounds logarithmic in the graph and never bring a whole
 neighbourhood together.
@@ -9,8 +10,12 @@ neighbourhood together.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +25,13 @@ from kinweave.session import drop_table, settle, ship_functions
 ship_functions(__name__)
 
 SMALL_GRAPH = 200_000
+#: Rows that a task contracts together.
+HELD = 2_000_000
 
 
-def _labels(pdf: pd.DataFrame, group: list[str]) -> pd.DataFrame:
-    """Lowest node name of each node's component, by repeated minimum over the edges."""
-    nodes, code = np.unique(
-        np.concatenate([pdf["src"].to_numpy(object), pdf["dst"].to_numpy(object)]).astype(str),
-        return_inverse=True)
-    u, v = code[: len(pdf)], code[len(pdf):]
-    label = np.arange(len(nodes))
+def _lowest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Lowest code of the component of each of n nodes, by repeated minimum over the edges."""
+    label = np.arange(n)
     while True:
         low = np.minimum(label[u], label[v])
         after = label.copy()
@@ -37,8 +40,63 @@ def _labels(pdf: pd.DataFrame, group: list[str]) -> pd.DataFrame:
         np.minimum.at(after, label, after)
         after = after[after]
         if (after == label).all():
-            break
+            return label
         label = after
+
+
+def _stars(table: pa.Table, group: list[str]) -> pa.Table:
+    """(group, src, dst): each node of the edges with the lowest node of its component among them."""
+    names = pa.chunked_array([*table.column("src").chunks, *table.column("dst").chunks]).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(names.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    code = rank[names.indices.to_numpy()]
+    graph = np.zeros(table.num_rows, np.int64)
+    for g in group:
+        column = table.column(g).combine_chunks().dictionary_encode()
+        graph = graph * (len(column.dictionary) + 1) + pc.fill_null(column.indices, len(column.dictionary)).to_numpy()
+        graph = np.unique(graph, return_inverse=True)[1]
+    key = np.concatenate([graph, graph]) * max(1, len(order)) + code
+    nodes, first, at = np.unique(key, return_index=True, return_inverse=True)
+    u, v = at[: table.num_rows], at[table.num_rows:]
+    root = _lowest(u, v, len(nodes))
+    sorted_names = names.dictionary.take(pa.array(order))
+    name = lambda keys: sorted_names.take(pa.array(keys % max(1, len(order))))
+    rows = pa.array(first % table.num_rows)
+    return pa.table({**{g: table.column(g).take(rows) for g in group}, "src": name(nodes), "dst": name(nodes[root])})
+
+
+def contract(edges: DataFrame, group: list[str], held: int = HELD) -> DataFrame:
+    """(group, src, dst) with the same components: every task's part of the edges as stars, a lone node as a loop.
+
+    A task contracts again whenever `held` rows have come together, and passes on what is then left of them if that is
+    still half as many.
+    """
+    types = dict(edges.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*group, "src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            kept.append(batch)
+            if sum(b.num_rows for b in kept) >= held:
+                kept = _stars(pa.Table.from_batches(kept), group).to_batches()
+                if 2 * sum(b.num_rows for b in kept) >= held:
+                    yield from kept
+                    kept = []
+        if sum(b.num_rows for b in kept):
+            yield from _stars(pa.Table.from_batches(kept), group).to_batches()
+
+    return edges.select(*group, "src", "dst").mapInArrow(run, schema)
+
+
+def _labels(pdf: pd.DataFrame, group: list[str]) -> pd.DataFrame:
+    """Lowest node name of each node's component, by repeated minimum over the edges."""
+    nodes, code = np.unique(
+        np.concatenate([pdf["src"].to_numpy(object), pdf["dst"].to_numpy(object)]).astype(str),
+        return_inverse=True)
+    u, v = code[: len(pdf)], code[len(pdf):]
+    label = _lowest(u, v, len(nodes))
     out = pd.DataFrame({"node": nodes, "component": nodes[label]})
     for i, g in enumerate(group):
         out.insert(i, g, pdf[g].iloc[0])
@@ -98,15 +156,14 @@ def star_rounds(edges: DataFrame, group: list[str], hot_rows: int = HOT_ROWS) ->
 
 
 def connected_components(edges: DataFrame, group: list[str], small: int = SMALL_GRAPH,
-                         hot_rows: int = HOT_ROWS, settled: bool = False) -> DataFrame:
+                         hot_rows: int = HOT_ROWS) -> DataFrame:
     """(group, node, component): the component is its lowest node.
 
     `edges` has `group`, `src`, `dst`; a node alone is given by a self loop.
-    They are read more than once; `settled` says they already are a table.
+    They are read once.  Rows without either end are left out.
     """
-    edges = edges.select(*group, "src", "dst")
-    if not settled:
-        edges = settle(edges)
+    edges = edges.select(*group, "src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
+    edges = settle(contract(edges, group))
     if edges.count() > small:  # a footer read; with fewer rows no graph can be larger
         big = edges.groupBy(*group).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > small)
         big = settle(big.select(*group))
