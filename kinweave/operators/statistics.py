@@ -2,55 +2,104 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.operators.ordering import running_sum
+from kinweave.operators.skew import lookup
 from kinweave.operators.transforms import feature_columns
 from kinweave.session import settle
 
 QUARTILES = [0.25, 0.5, 0.75]
+#: Ranks of a sketch; it is off by one of so many at most.
+ACCURACY = 10_000
 
 
 def describe_by_project(panel: DataFrame) -> DataFrame:
     """Count, mean, deviation and quartiles within each project, averaged over projects.
 
-    One aggregation holds all features, so the rows are not multiplied.
+    One aggregation holds all plain statistics, so the rows are not multiplied;
+    quartiles come from brackets, so no project's values are held together.
     """
     cols = feature_columns(panel)
+    rows = settle(panel.select("proj_name", *cols))
     stats = {
-        "count": lambda c: F.count(c).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": F.min,
-        "q25": lambda c: F.percentile(c, 0.25), "q50": lambda c: F.percentile(c, 0.5),
-        "q75": lambda c: F.percentile(c, 0.75), "max": F.max,
-    }
-    each = panel.groupBy("proj_name").agg(*[
+        "count": lambda c: F.count(c).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    each = rows.groupBy("proj_name").agg(*[
         fn(F.col(c).cast("double")).alias(f"{c}|{s}") for c in cols for s, fn in stats.items()])
     means = each.agg(*[F.avg(F.col(f"`{c}|{s}`")).alias(f"{c}|{s}") for c in cols for s in stats])
-    rows = F.explode(F.array(*[
+    plain = F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), *[F.col(f"`{c}|{s}`").alias(s) for s in stats]) for c in cols]))
-    return means.select(rows.alias("r")).select("r.*")
+    quart = exact_quantiles(rows, cols, QUARTILES, ["proj_name"]).groupBy("feature").agg(*[
+        F.avg(F.when(F.col("prob") == p, F.col("value"))).alias(f"q{round(p * 100)}") for p in QUARTILES])
+    return means.select(plain.alias("r")).select("r.*").join(quart, "feature", "left").select(
+        "feature", "count", "mean", "std", "min", *[f"q{round(p * 100)}" for p in QUARTILES], "max")
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
-    """(feature, prob, value) with linear interpolation, exact on any number of rows.
+def _brackets(df: DataFrame, cols: list[str], probs: list[float], group: list[str], accuracy: int) -> DataFrame:
+    """Per group `_rows` and for each column number `b<i>`: its count and two values around every wanted rank.
 
-    Equal values are counted first; running counts over ordered slices then
-    place each value, so no column is sorted inside one task.
+    The sketch is off by at most a share 1 / accuracy of the ranks, so values four such
+    shares to either side enclose it; up to `accuracy` values are a bracket as they are.
+    """
+    slack = 4 / accuracy
+    at = [*[max(0.0, p - slack) for p in probs], *[min(1.0, p + slack) for p in probs]]
+    found = df.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_rows"), *[x for i, c in enumerate(cols) for x in (
+            F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"),
+            F.percentile_approx(c, at, accuracy).alias(f"q{i}"))])
+
+    def bracket(i: int) -> Column:
+        small = F.col(f"n{i}") <= accuracy
+        low = F.array(*[F.when(small, F.col(f"lo{i}")).otherwise(F.col(f"q{i}")[k]) for k in range(len(probs))])
+        high = F.array(*[F.when(small, F.col(f"hi{i}")).otherwise(F.col(f"q{i}")[len(probs) + k]) for k in range(len(probs))])
+        return F.struct(F.col(f"n{i}").alias("n"), low.alias("low"), high.alias("high")).alias(f"b{i}")
+
+    return found.select(*group, "_rows", *[bracket(i) for i in range(len(cols))])
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], group: list[str] | None = None,
+                    accuracy: int = ACCURACY) -> DataFrame:
+    """(group, feature, prob, value) with linear interpolation, exact on any number of rows.
+
+    A first pass brackets each rank by a mergeable sketch, a second one counts the
+    values below the brackets and, one by one, those inside: beyond `accuracy` rows
+    of a group that is a share of some 8 / accuracy of them, and only their distinct
+    values are shuffled.  Groups are not null; columns without values have no rows.
     """
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "feature", "value")
-    counts = long.where("value IS NOT NULL").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_sum(counts, ["feature"], ["value"], "n", "upto")
-    total = placed.groupBy("feature").agg(F.sum("n").alias("total"))
-    wanted = total.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).select(
-        "feature", "prob", (F.col("prob") * (F.col("total") - 1)).alias("at"))
-    # One row per feature and probability.
-    hit = placed.join(F.broadcast(wanted), "feature")
+    group = group or []
+    rows = df.select(*group, *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    found = settle(_brackets(rows, [f"c{i}" for i in range(len(cols))], probs, group, accuracy))
+    if group:
+        met = lookup(rows, found, group, "_rows")
+    else:
+        one = found.first()  # the only row
+        values = lambda xs: F.array(*[F.lit(x).cast("double") for x in xs])
+        met = rows.select("*", *[F.struct(F.lit(one[f"b{i}"]["n"]).alias("n"), values(one[f"b{i}"]["low"]).alias("low"), values(
+            one[f"b{i}"]["high"]).alias("high")).alias(f"b{i}") for i in range(len(cols))])
+    cells = [(i, k) for i in range(len(cols)) for k in range(len(probs))]
+    low, high = (lambda i, k, side=side: F.col(f"b{i}.{side}")[k] for side in ("low", "high"))
+    sums = met.groupBy(*group).agg(*[
+        F.coalesce(F.sum((F.col(f"c{i}") < low(i, k)).cast("long")), F.lit(0)).alias(f"s{i}_{k}") for i, k in cells],
+        *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(cols))])
+    below = sums.select(*group, F.explode(F.array(*[F.struct(
+        F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"s{i}_{k}").alias("below"), F.col(f"n{i}").alias("total")) for i, k in cells])).alias("x")).select(
+        *group, "x.*")
+    inside = F.filter(F.array(*[F.struct(
+        F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"c{i}").alias("value"),
+        ((F.col(f"c{i}") >= low(i, k)) & (F.col(f"c{i}") <= high(i, k))).alias("held")) for i, k in cells]), lambda x: x.held)
+    counts = met.select(*group, F.explode(inside).alias("x")).groupBy(
+        *group, "x.i", "x.k", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_sum(counts, [*group, "i", "k"], ["value"], "n", "upto").join(below, [*group, "i", "k"])
+    at = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("k") + 1) * (F.col("total") - 1)
+    placed = placed.withColumn("at", at).withColumn("upto", F.col("upto") + F.col("below"))
     covers = lambda rank: (rank + 1 > F.col("upto") - F.col("n")) & (rank + 1 <= F.col("upto"))
-    low, high = covers(F.floor("at")), covers(F.ceil("at"))
-    ends = hit.where(low | high).groupBy("feature", "prob", "at").agg(
-        F.max(F.when(low, F.col("value"))).alias("lo"), F.max(F.when(high, F.col("value"))).alias("hi"))
+    first, last = covers(F.floor("at")), covers(F.ceil("at"))
+    ends = placed.where(first | last).groupBy(*group, "i", "k", "at").agg(
+        F.max(F.when(first, F.col("value"))).alias("lo"), F.max(F.when(last, F.col("value"))).alias("hi"))
     return ends.select(
-        "feature", "prob",
+        *group, F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1).alias("feature"),
+        F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("k") + 1).alias("prob"),
         (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))).alias("value"))
 
 

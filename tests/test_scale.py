@@ -117,6 +117,22 @@ def test_exact_quantiles(spark):
         assert r["value"] == pytest.approx(pdf[r["feature"]].quantile(r["prob"]))
 
 
+@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
+def test_quantiles_of_brackets(spark, accuracy):
+    """Groups of one row to thousands; ties, nulls, constants; few values are looked at one by one."""
+    rng = random.Random(3)
+    data = [(g, rng.choice([None, 1.0, rng.random(), float(rng.randrange(5))]), 7.0, None) for g, n in (("a", 1), ("b", 2), ("c", 37), ("d", 4000))
+            for _ in range(n)]
+    df = spark.createDataFrame(data, "g string, x double, y double, z double")
+    pdf = pd.DataFrame(data, columns=["g", "x", "y", "z"]).astype({"x": float, "z": float})
+    probs = [0.0, 0.03, 0.25, 0.5, 0.95, 1.0]
+    got = {(r["g"], r["feature"], r["prob"]): r["value"] for r in statistics.exact_quantiles(df, ["x", "y", "z"], probs, ["g"], accuracy).collect()}
+    want = {(g, c, p): part[c].quantile(p) for g, part in pdf.groupby("g") for c in "xy" for p in probs if part[c].notna().any()}
+    assert got == pytest.approx(want)
+    got = {(r["feature"], r["prob"]): r["value"] for r in statistics.exact_quantiles(df, ["x", "y", "z"], probs, accuracy=accuracy).collect()}
+    assert got == pytest.approx({(c, p): pdf[c].quantile(p) for c in "xy" for p in probs})
+
+
 def test_hot_thread(spark):
     """One thread holds nearly all messages, many at the same time."""
     data = [("p", "main", i // 40, f"<{i:05d}>") for i in range(500)] + [("p", "side", 1, "<x>"), ("q", None, 1, "<y>"), ("q", None, 2, "<z>")]
