@@ -24,6 +24,7 @@ from kinweave.functions.similarity import (
     PREFIX_LENGTH, PREFIX_WEIGHT, jaro_winkler_rows, segment_compatible, segments_agree_rows, similarity,
 )
 from kinweave.operators.components import connected_components
+from kinweave.operators.peeling import refine_large
 from kinweave.operators.skew import lookup
 from kinweave.schemas import Logs
 from kinweave.session import settle, ship_functions
@@ -35,6 +36,8 @@ RARE_FIRST = "QXZJKVUYWIFONHEGLTPRDBCSAMzqxjkvbpygfwmucldrhsnioate "
 
 # Characters of a choice, at most, and choices of one key for a pair of lengths, about at most.
 CHOICE, CHOICES = 4, 60
+# Names of a cluster that is refined in one task, at most.
+LARGE = 4000
 
 
 def person_universe(tech: DataFrame, social: DataFrame, source: str = "sender") -> DataFrame:
@@ -226,23 +229,32 @@ def _refine(names: pd.DataFrame, least: float, sizes: tuple[int, int]) -> pd.Dat
     return names.iloc[kept if sizes[0] <= len(kept) <= sizes[1] else []]
 
 
-def refine_clusters(clusters: DataFrame, least: float = 0.9, sizes: tuple[int, int] = (2, 5)) -> DataFrame:
+def refine_clusters(
+    clusters: DataFrame, least: float = 0.9, sizes: tuple[int, int] = (2, 5), large: int = LARGE,
+) -> DataFrame:
     """Drop names that fit their cluster badly and keep clusters of a plausible size.
 
     Again and again the name with the lowest mean score leaves its cluster, until
-    all reach `least`; a cluster of any size goes through this, in one task of
-    memory in proportion to its names.
+    all reach `least`.  A cluster of up to `large` names goes through this in one
+    task; the scores of larger ones are taken block by block, and their names
+    leave in rounds with the same result.
     """
     columns = "project string, cluster string, name string, key string"
 
     def refine(pdf: pd.DataFrame) -> pd.DataFrame:
         return _refine(pdf, least, sizes)
 
-    return (
-        clusters.select("project", "cluster", "name", "key")
-        .groupBy("project", "cluster")
-        .applyInPandas(refine, columns)
-    )
+    rows = settle(clusters.select("project", "cluster", "name", "key"))
+    counts = rows.groupBy("project", "cluster").agg(F.count(F.lit(1)).alias("rows"))
+    hot = settle(counts.where(F.col("rows") > large).withColumn("large", F.lit(True)))
+    small = rows
+    some = not hot.isEmpty()
+    if some:
+        marked = lookup(rows, hot, ["project", "cluster"], "rows", settled=True)
+        small = marked.where("large IS NULL").drop("large")
+        chained = refine_large(marked.where("large").drop("large"), least, sizes)
+    kept = small.groupBy("project", "cluster").applyInPandas(refine, columns)
+    return kept.unionByName(chained) if some else kept
 
 
 def canonical_name(clusters: DataFrame) -> DataFrame:
