@@ -2,10 +2,10 @@
 
 Scores of names with all others of their cluster are summed by blocks of keys that
 meet each other, one row per pair of blocks.  The names with the lowest sums then
-leave in rounds: a task takes the lowest of a cluster, lets them go one after the
-other as long as no name outside its choice can be lower (a name that leaves takes
-at most 1 from a sum), and all blocks subtract the scores of those that left.  So
-a round does many steps, and every step is that of the plain order.
+leave in rounds.  A task takes the lowest of a cluster and lets them go one after the
+other, as if there were no others; every block follows these steps with its own sums
+and says before which step one of its names would have been lower; the steps
+before that are those of the plain order, and all blocks subtract their scores.
 
 Sums are whole multiples of 1 / `UNIT`: they are exact in any order of adding, and
 a task run again decides as before.
@@ -13,6 +13,8 @@ a task run again decides as before.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +30,10 @@ from kinweave.session import drop_table, settle, ship_functions
 ship_functions(__name__)
 
 ON = ["project", "cluster"]
-#: Keys of a block, about; keys a task may choose from in a round.
+#: Keys of a block, about; keys a task may choose from in a round, and half as many steps.
 BLOCK, BATCH = 512, 2048
 #: Pairs of blocks of a task, about, and tasks at most.
-MEETINGS, TASKS = 8, 20_000
+MEETINGS, TASKS = 2, 20_000
 UNIT = float(1 << 40)
 #: Means that differ by less are equal.
 TIE = 1e-12
@@ -103,41 +105,56 @@ def _with_totals(blocks: DataFrame) -> DataFrame:
         "total", F.transform("c", lambda c: c.s - F.lit(int(UNIT)))).drop("c")
 
 
-def leaving(cells: pd.DataFrame, least: float, batch: int) -> dict[str, int]:
-    """How many names of which key leave, from the lowest `batch` keys of a cluster and the next one, in order.
+def leaving(cells: pd.DataFrame, least: float, steps: int) -> tuple[list[str], list[int]]:
+    """The keys of the names that leave, in order, if there were no other keys; and below which sum others come first.
 
-    The first step is always sound: the lowest key is among them.  Further steps
-    need every other key to stay above, even if each name that left took 1 from it.
+    The first step is always that of the whole cluster: its lowest key is among them.
     """
     cells = cells.sort_values("rank")
-    cut = cells["low"].iloc[batch] if len(cells) > batch else np.inf
-    cells = cells.iloc[:batch]
     keys, left = pa.array(cells["key"], pa.string()), [list(x) for x in cells["left"]]
     total, alive = cells["total"].to_numpy(np.int64), int(cells["alive"].iloc[0])
-    gone: dict[str, int] = {}
-    step = 0
-    while alive >= 2:
+    gone: list[str] = []
+    bars: list[int] = []
+    while alive >= 2 and len(gone) < steps:
         mean = np.where([bool(x) for x in left], total / UNIT / (alive - 1), np.inf)
         low = mean.min()
-        if low >= least - TIE or step and low + TIE >= (cut / UNIT - step) / (alive - 1):
+        if low >= least - TIE:
             break
         worst = min(np.flatnonzero(mean <= low + TIE).tolist(), key=lambda i: left[i][-1])
         left[worst].pop()
         total = total - scores(keys.slice(worst, 1), keys)[0]
-        gone[keys[worst].as_py()] = gone.get(keys[worst].as_py(), 0) + 1
+        gone.append(keys[worst].as_py())
+        bars.append(math.ceil((low + TIE) * (alive - 1) * UNIT))
         alive -= 1
-        step += 1
-    return gone
+    return gone, bars
+
+
+def _sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block how many of the steps no key outside the choice would have come before."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            chosen = set(row["chosen"])
+            others = [i for i, k in enumerate(row["keys"]) if k not in chosen]
+            sound = len(row["gone"])
+            if others and sound:
+                names, at = np.unique(np.array(row["gone"], object).astype(str), return_inverse=True)
+                lost = scores(pa.array([row["keys"][i] for i in others]), pa.array(names, pa.string()))[:, at]
+                before = np.cumsum(lost, axis=1) - lost
+                ahead = np.array([row["total"][i] for i in others], np.int64)[:, None] - before <= np.array(row["bars"], np.int64)
+                first = np.flatnonzero(ahead[:, 1:].any(axis=0))
+                sound = int(first[0]) + 1 if len(first) else sound
+            yield pa.RecordBatch.from_pydict({
+                "project": [row["project"]], "cluster": [row["cluster"]], "sound": pa.array([sound], pa.int32())})
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks less the names that left and their scores; keys without names go."""
     for batch in batches:
         for row in batch.to_pylist():
-            keys, times = pa.array(row["keys"], pa.string()), dict(zip(row["gone"], row["times"]))
+            times = Counter(row["gone"][: row["sound"]])
             left = [x[: len(x) - times.get(k, 0)] for k, x in zip(row["keys"], row["left"])]
             stay = [i for i, x in enumerate(left) if x]
-            lost = scores(keys.take(pa.array(stay, pa.int64())), pa.array(row["gone"], pa.string())) @ np.array(row["times"], np.int64)
+            lost = scores(pa.array([row["keys"][i] for i in stay], pa.string()), pa.array(list(times), pa.string())) @ np.array(list(times.values()), np.int64)
             yield pa.RecordBatch.from_pydict({
                 "project": [row["project"]], "cluster": [row["cluster"]],
                 "block": pa.array([row["block"]], pa.int32()), "blocks": pa.array([row["blocks"]], pa.int32()),
@@ -148,17 +165,20 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _peeled(state: DataFrame, least: float, batch: int) -> DataFrame:
     """One row per key that is left when all names of its cluster reach `least` on average."""
-    finished: DataFrame | None = None
+    finished = _cells(state).limit(0).withColumn("alive", F.lit(0).cast("long"))
     tables = [state]
+    tasks = int(min(TASKS, max(1, state.count())))  # a block is some seconds of work in a round
     while True:
         cells = _cells(state)
-        heads = settle(cells.groupBy(*ON).agg(
-            F.min("total").alias("least"), F.sum(F.size("left")).alias("alive"), F.count(F.lit(1)).alias("rows")))
+        sums = cells.groupBy(*ON).agg(
+            F.min("total").alias("least"), F.sum(F.size("left")).alias("alive"), F.count(F.lit(1)).alias("rows"), F.count(F.lit(1)).alias("n"))
         fits = (F.col("alive") < 2) | (F.col("least") / F.lit(UNIT) / (F.col("alive") - 1) >= F.lit(least - TIE))
-        known = lookup(cells, heads.withColumn("fits", fits), ON, "rows", settled=True)
-        done = known.where("fits").select(*ON, "key", "left", "total", "alive")
-        finished = done if finished is None else finished.unionByName(done)
-        if heads.where(~fits).limit(1).count() == 0:
+        heads = settle(sums.withColumn("fits", fits))
+        known = lookup(cells, heads, ON, "rows", settled=True)
+        done, going = heads.agg(F.count_if(F.col("fits")), F.count_if(~F.col("fits"))).head()
+        if done:
+            finished = finished.unionByName(known.where("fits").select(*ON, "key", "left", "total", "alive"))
+        if not going:
             finished = settle(finished)
             for t in tables:
                 drop_table(t)
@@ -167,17 +187,21 @@ def _peeled(state: DataFrame, least: float, batch: int) -> DataFrame:
         tied = F.col("total") <= F.col("least") + F.lit(TIE * UNIT) * (F.col("alive") - 1)
         low = F.when(tied, F.col("least")).otherwise(F.col("total"))
         order = Window.partitionBy(*ON).orderBy("low", F.element_at("left", -1))
-        chosen = known.where(~F.col("fits")).withColumn("low", low).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= batch + 1)
+        chosen = known.where("not fits").withColumn("low", low).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= batch)
 
         def leave(pdf: pd.DataFrame) -> pd.DataFrame:
-            gone = leaving(pdf, least, batch)
-            return pd.DataFrame({"project": pdf["project"].iloc[:1], "cluster": pdf["cluster"].iloc[:1],
-                                 "gone": [list(gone)], "times": [list(gone.values())]})
-
-        gone = settle(chosen.groupBy(*ON).applyInPandas(leave, "project string, cluster string, gone array<string>, times array<int>"))
-        # One row per block: the list of those that left is read once for some hundred keys.
-        weighed = gone.join(heads.select(*ON, "rows"), ON)
-        state = settle(lookup(state, weighed, ON, "rows").where("gone IS NOT NULL").mapInArrow(_without, BLOCKS).where("size(keys) > 0"))
+            gone, bars = leaving(pdf, least, max(1, batch // 2))
+            return pd.DataFrame({"project": pdf["project"].iloc[:1], "cluster": pdf["cluster"].iloc[:1], "rows": pdf["rows"].iloc[:1],
+                                 "chosen": [list(pdf["key"])], "gone": [gone], "bars": [bars]})
+
+        steps = settle(chosen.withColumnRenamed("n", "rows").groupBy(*ON).applyInPandas(
+            leave, "project string, cluster string, rows long, chosen array<string>, gone array<string>, bars array<long>"))
+        # One row per block: the steps are read once for some hundred keys.
+        dealt = state.repartition(tasks, *ON, "block")
+        followed = lookup(dealt, steps, ON, "rows", settled=True).where("gone IS NOT NULL")
+        sound = settle(followed.mapInArrow(_sound, "project string, cluster string, sound int").groupBy(*ON).agg(F.min("sound").alias("sound")))
+        valid = steps.drop("chosen", "bars").join(sound, ON)
+        state = settle(lookup(dealt, valid, ON, "rows").where("gone IS NOT NULL").mapInArrow(_without, BLOCKS).where("size(keys) > 0"))
         tables.append(state)
 
 
