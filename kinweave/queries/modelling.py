@@ -313,6 +313,50 @@ def traj_ar(spark, sf):
     return path_rows(trajectories.traj_ar(forecast(spark, sf)), ["neutral", "negative", "positive"])
 
 
+def lags_sql(lag: int, k: int = 3) -> str:
+    """Yule-Walker weights of `lag` changes, column by column, and k steps along them."""
+    hs = range(lag + 1)
+    ctes = [
+        "y1 AS (SELECT project, month, p, p - lag(p) OVER w AS d, row_number() OVER w AS n FROM fc WINDOW w AS (PARTITION BY project ORDER BY month))",
+        "y2 AS (SELECT *, " + ", ".join(f"lag(d, {h}) OVER w AS d{h}" for h in hs) +
+        " FROM y1 WINDOW w AS (PARTITION BY project ORDER BY month))",
+        "y3 AS (SELECT *, avg(d) OVER w AS m, " + ", ".join(f"sum(d * d{h}) OVER w AS s{h}, sum(d + d{h}) OVER w AS t{h}" for h in hs) +
+        " FROM y2 WINDOW w AS (PARTITION BY project ORDER BY month ROWS UNBOUNDED PRECEDING))",
+        "y4 AS (SELECT *, " + ", ".join(f"coalesce((s{h} - m * t{h} + (n - 1 - {h}) * m * m) / (n - 1), 0.0) AS c{h}" for h in hs) +
+        f" FROM y3 WHERE n > {lag})",
+        "v0 AS (SELECT * REPLACE (" + ", ".join(f"CASE WHEN abs(c{h}) < 1e-12 THEN 0.0 ELSE c{h} END AS c{h}" for h in hs) + ") FROM y4)",
+        "w0 AS (SELECT *, c0 AS rest0 FROM v0)"]
+    for h in range(1, lag + 1):
+        known = "".join(f" - f{h - 1}_{j} * c{h - j}" for j in range(1, h))
+        ctes.append(f"v{h} AS (SELECT *, CASE WHEN rest{h - 1} <= c0 * 1e-12 THEN 0.0 ELSE (c{h}{known}) / rest{h - 1} END AS f{h}_{h} FROM w{h - 1})")
+        ctes.append(f"w{h} AS (SELECT *, " + "".join(f"f{h - 1}_{j} - f{h}_{h} * f{h - 1}_{h - j} AS f{h}_{j}, " for j in range(1, h)) +
+                    f"rest{h - 1} * (1 - f{h}_{h} * f{h}_{h}) AS rest{h} FROM v{h})")
+    f = [None, *[f"f{lag}_{j}" for j in range(1, lag + 1)]]
+    past = [f"coalesce(d{j} - m, 0.0)" for j in range(lag)]
+    ctes.append(f"x0 AS (SELECT *, p AS at0, 0.0::DOUBLE AS g0, 0.0::DOUBLE AS sp0, greatest(rest{lag}, 0.0) AS v FROM w{lag})")
+    for i in range(1, k + 1):
+        change = " + ".join(f"{f[j + 1]} * {past[j]}" for j in range(lag))
+        shock = "1.0" if i == 1 else " + ".join(f"{f[j]} * u{i - j}" for j in range(1, min(lag, i - 1) + 1))
+        ctes.append(f"z{i} AS (SELECT *, {change} AS e{i}, {shock} AS u{i} FROM x{i - 1})")
+        ctes.append(f"x{i} AS (SELECT *, at{i - 1} + m + e{i} AS at{i}, g{i - 1} + u{i} AS g{i}, sp{i - 1} + (g{i - 1} + u{i}) * (g{i - 1} + u{i}) AS sp{i} FROM z{i})")
+        past = [f"e{i}", *past[:-1]]
+    rows = " UNION ALL ".join(
+        f"SELECT project, month, {i} AS pos, {clip(f'at{i}') if i else 'p'} AS neutral, at{i} - 1.959963984540054 * sqrt(v * sp{i}) AS negative, "
+        f"at{i} + 1.959963984540054 * sqrt(v * sp{i}) AS positive FROM x{k}" for i in range(k + 1))
+    return with_ctes(*SMALL_SQL, FORECAST, *ctes) + (
+        f"SELECT project, month, pos, round(neutral, 6) AS neutral, round(negative, 6) AS negative, round(positive, 6) AS positive FROM ({rows})")
+
+
+@query("traj_ar_lags", lags_sql(3))
+def traj_ar_lags(spark, sf):
+    return path_rows(trajectories.traj_ar_lags(forecast(spark, sf)), ["neutral", "negative", "positive"])
+
+
+@query("traj_ar_year", lags_sql(12))
+def traj_ar_year(spark, sf):
+    return path_rows(trajectories.traj_ar_lags(forecast(spark, sf), lag=12), ["neutral", "negative", "positive"])
+
+
 @query("traj_bound", with_ctes(*SMALL_SQL, FORECAST, *AR) +
        f"SELECT project, month, pos, round({clip('negative')}, 6) AS negative, round({clip('positive')}, 6) AS positive FROM ({AR_ROWS})")
 def traj_bound(spark, sf):

@@ -159,12 +159,56 @@ def test_known_path(spark):
 def test_path_errors(spark):
     with pytest.raises(ValueError):
         trajectories.check_series(series(spark, [0.1, 0.2]), 3)
-    for fn in (trajectories.traj_simple, trajectories.traj_ar):
+    for fn in (trajectories.traj_simple, trajectories.traj_ar, trajectories.traj_ar_lags):
         with pytest.raises(ValueError):
             fn(series(spark, [0.1] * 5), lag=1)
     assert trajectories.traj_simple(series(spark, [0.1, 0.2])).count() == 0
 
 
+def lagged_path(values, lag, k):
+    """The equations solved as a matrix, and the band from the weights of past shocks."""
+    import numpy as np
+    d = np.diff(values)
+    m, mean = len(d), np.mean(d)
+    z = d - mean
+    c = np.array([z[h:] @ z[: m - h] / m if h < m else 0.0 for h in range(lag + 1)])
+    phi = np.linalg.solve([[c[abs(i - j)] for j in range(lag)] for i in range(lag)], c[1:])
+    rest, past, at = c[0] - phi @ c[1:], list(z[::-1][:lag]), values[-1]
+    shocks, mid, half = [], [values[-1]], [0.0]
+    for i in range(k):
+        past = [phi @ past[:lag], *past]
+        at += mean + past[0]
+        shocks.append(1.0 if i == 0 else sum(phi[j - 1] * shocks[i - j] for j in range(1, min(lag, i) + 1)))
+        mid.append(min(max(at, 0.0), 1.0))
+        half.append(half[0] + 1.959963984540054 * np.sqrt(rest * np.sum(np.cumsum(shocks) ** 2)))
+    return mid, half
+
+
+@pytest.mark.parametrize("lag", [2, 3, 6])
+def test_path_of_several_lags(spark, lag):
+    import random
+    draw = random.Random(lag)
+    values = [0.5]
+    for _ in range(19):
+        values.append(min(max(values[-1] + draw.uniform(-0.1, 0.1), 0.05), 0.95))
+    got = {r["month"]: r for r in trajectories.traj_ar_lags(series(spark, values), lag, 5).collect()}
+    assert sorted(got) == list(range(lag, 20))
+    for month in (lag, 10, 19):
+        mid, half = lagged_path(values[: month + 1], lag, 5)
+        assert got[month]["neutral"] == pytest.approx(mid, abs=1e-8)
+        assert [b - a for a, b in zip(got[month]["negative"], got[month]["positive"])] == pytest.approx([2 * h for h in half], abs=1e-7)
+
+
+def test_flat_and_short_series_of_several_lags(spark):
+    flat = trajectories.traj_ar_lags(series(spark, [0.4] * 8), 3, 2).collect()
+    assert len(flat) == 5 and all(r["neutral"] == r["negative"] == r["positive"] == [0.4] * 3 for r in flat)
+    line = trajectories.traj_ar_lags(series(spark, [0.1, 0.2, 0.3, 0.4, 0.5]), 3, 2).collect()[-1]
+    assert line["neutral"] == pytest.approx([0.5, 0.6, 0.7]) == line["positive"]
+    assert trajectories.traj_ar_lags(series(spark, [0.1, 0.2, 0.3]), 3).count() == 0
+    kinds = trajectories.trajectories(series(spark, [0.1, 0.3, 0.2, 0.4, 0.5]), "AR_LAGS").select("kind").distinct().count()
+    assert kinds == 3
+
+
 def test_merges(spark, rows):
     new, old = series(spark, [0.1, 0.2, 0.3]), series(spark, [0.9, 0.8])
     assert rows(scoring.merge_forecasts(new, old), "month", "p") == [(0, 0.9), (1, 0.8), (2, 0.3)]
