@@ -99,7 +99,7 @@ SOURCES = [
 
 def mix(spark, sf):
     rows, status = small_panel(spark, sf), mixed_status(spark, sf)
-    other = rows.where("month < 40").withColumn("proj_name", F.concat(F.lit("x"), "proj_name"))
+    other = rows.withColumn("proj_name", F.concat(F.lit("x"), "proj_name"))
     return datasets.dataset_mix(
         SOURCES, {"apache": rows, "eclipse": other},
         {"apache": status, "eclipse": status.withColumn("project", F.concat(F.lit("x"), "project"))})
@@ -116,9 +116,9 @@ rk AS (SELECT project, status, row_number() OVER (PARTITION BY status ORDER BY m
 part AS (SELECT project, status, CASE WHEN rn <= ceil(CAST(n AS DOUBLE) / base * floor(base * 0.2)) THEN 'test' ELSE 'train' END AS role FROM rk)""") + f"""
 SELECT proj_name, month, {DIV}, role, 'apache' AS dataset, {LABEL} AS label FROM p JOIN part m ON m.project = proj_name
 UNION ALL
-SELECT 'x' || proj_name, month, {RUN}, 'train', 'eclipse', {LABEL} FROM p JOIN known m ON m.project = proj_name WHERE month < 40
+SELECT 'x' || proj_name, month, {RUN}, 'train', 'eclipse', {LABEL} FROM p JOIN known m ON m.project = proj_name
 UNION ALL
-SELECT 'x' || proj_name, month, {ROUND}, 'test', 'eclipse', {LABEL} FROM p JOIN known m ON m.project = proj_name WHERE month < 40""")
+SELECT 'x' || proj_name, month, {ROUND}, 'test', 'eclipse', {LABEL} FROM p JOIN known m ON m.project = proj_name""")
 def dataset_mix(spark, sf):
     out = mix(spark, sf)
     return out.select(*[F.round(F.col(c).cast("double"), 6).alias(c) if c in COLS else F.col(c) for c in out.columns])
@@ -375,10 +375,9 @@ def traj_package(spark, sf):
 
 
 @query("traj_lag_rule", with_ctes(*SMALL_SQL, FORECAST) + """
-SELECT project, CAST(least(12, count(*)) AS INTEGER) AS lag FROM fc WHERE month < 8 OR project IN ('proj1', 'proj2') GROUP BY project""")
+SELECT project, CAST(least(12, count(*)) AS INTEGER) AS lag FROM fc GROUP BY project""")
 def traj_lag_rule(spark, sf):
-    rows = forecast(spark, sf).where("month < 8 OR project IN ('proj1', 'proj2')")
-    return trajectories.effective_lag(rows)
+    return trajectories.effective_lag(forecast(spark, sf))
 
 
 @query("merge_trajectories", with_ctes(*SMALL_SQL, FORECAST, *AR) + f"""

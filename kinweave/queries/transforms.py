@@ -280,15 +280,14 @@ def correlations_strong(spark, sf):
 
 
 @query("length_distribution", """
-WITH l AS (SELECT l_returnflag AS incubator, l_suppkey, CAST(max(datediff('month', TIMESTAMP '1995-01-01', l_shipdate)) + 1 AS INTEGER) AS months
-           FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01' + INTERVAL (l_suppkey % 60 + 20) MONTH GROUP BY ALL)
+WITH l AS (SELECT o_orderstatus AS incubator, o_custkey, CAST(datediff('month', min(o_orderdate), max(o_orderdate)) + 1 AS INTEGER) AS months
+           FROM orders GROUP BY ALL)
 SELECT incubator, CAST(months // 6 * 6 AS INTEGER) AS months, CAST(count(*) AS BIGINT) AS projects, max(max(months)) OVER (PARTITION BY incubator) AS longest
 FROM l GROUP BY incubator, months // 6 * 6""")
 def length_distribution(spark, sf):
-    items = views.table(spark, sf, "lineitem")
-    month = cleaning.month_index("l_shipdate") - 1995 * 12
-    lengths = items.where(month < F.col("l_suppkey") % 60 + 20).groupBy(
-        F.col("l_returnflag").alias("incubator"), "l_suppkey").agg((F.max(month) + 1).cast("int").alias("months"))
+    month = cleaning.month_index("o_orderdate")
+    lengths = views.table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("incubator"), "o_custkey").agg(
+        (F.max(month) - F.min(month) + 1).cast("int").alias("months"))
     return statistics.length_distribution(lengths, 6)
 
 

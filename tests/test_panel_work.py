@@ -248,3 +248,8 @@ def test_strategy_words(spark):
         "[A-1-1cbn + G^ --> E-1-1] -- trained w/ {apache, filepaths cleaned commits data, sender name cleaned emails data,"
         "github, source imputation, bot-free, dealiased commits data, reply imputed, m-id imputed, bot-free, de-aliased issues data}; "
         "tested w/ {eclipse, dealiased w/ source files & bots commits data, now aggregated by project, deliased w/ reply & bots issues data}")
+
+
+def test_effective_lag(spark, rows):
+    assert rows(trajectories.effective_lag(series(spark, [0.1, 0.2])), "lag") == [(2,)]
+    assert rows(trajectories.effective_lag(series(spark, [0.1] * 20)), "lag") == [(12,)]
