@@ -123,11 +123,20 @@ def describe(panel: DataFrame, outlier: float | None = None) -> DataFrame:
 
 
 def correlations(panel: DataFrame, least: float | None = None) -> DataFrame:
-    """Pearson correlation of every pair of features, from one pass; strong pairs with `least`."""
+    """Pearson correlation of every pair of features, from one pass; strong pairs with `least`.
+
+    A feature of one value has none, null (`F.corr` divides by its deviation, an error in ANSI mode).
+    """
     cols = feature_columns(panel)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[:i]]
-    wide = panel.agg(*[
-        F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
+
+    def one(a: str, b: str) -> Column:
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+        return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+    wide = panel.agg(*[one(a, b).alias(f"{a}|{b}") for a, b in pairs])
     rows = F.explode(F.array(*[
         F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"`{a}|{b}`").alias("corr"))
         for a, b in pairs]))
