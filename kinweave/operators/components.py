@@ -106,13 +106,39 @@ def _labels(pdf: pd.DataFrame, group: list[str]) -> pd.DataFrame:
 def star_rounds(edges: DataFrame, group: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """(group, node, component) for graphs of any size; the component is the lowest node.
 
+    A node whose only link goes to a lower one has the component of that one, so
+    the rounds run on the links of all other nodes.  In edges that tasks have
+    contracted, these are the nodes that several tasks have linked differently.
+    """
+    ends = F.explode(F.array(
+        F.struct(F.greatest("src", "dst").alias("node"), F.when(F.col("src") != F.col("dst"), F.least("src", "dst")).alias("to")),
+        F.struct(F.least("src", "dst").alias("node"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("to"))))
+    linked = (F.col("src") != F.col("dst")).alias("_linked")
+    rows = edges.select(*group, linked, ends.alias("e")).select(*group, "e.node", "e.to", (
+        F.col("_linked") & F.col("e.to").isNull()).alias("target"))
+    seen = settle(rows.groupBy(*group, "node").agg(
+        F.min("to").alias("low"), F.max("to").alias("high"), F.max("target").alias("target")))
+    hubs = seen.where("low <> high OR target AND low IS NOT NULL").select(*group, F.col("node").alias("src"))
+    lone = ~F.col("target") & (F.col("low") == F.col("high"))
+    if hubs.isEmpty():
+        return seen.select(*group, "node", F.coalesce("low", "node").alias("component"))
+    links = edges.where("src <> dst").select(
+        *group, F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).join(hubs, [*group, "src"], "left_semi")
+    found = _star_rounds(settle(links.distinct()), group, hot_rows)
+    asked = seen.select(*group, "node", F.when(lone, F.col("low")).otherwise(F.col("node")).alias("_at"))
+    times = asked.groupBy(*group, "_at").agg(F.count(F.lit(1)).alias("_n"))
+    table = times.join(found.select(*group, F.col("node").alias("_at"), "component"), [*group, "_at"])
+    return lookup(asked, table, [*group, "_at"], "_n", hot_rows).select(
+        *group, "node", F.coalesce("component", "_at").alias("component"))
+
+
+def _star_rounds(links: DataFrame, group: list[str], hot_rows: int) -> DataFrame:
+    """(group, node, component) of the nodes of distinct links whose `src` is above `dst`; the table is deleted.
+
     The rounds end when the links are a forest of stars: every source has one
     target and no target is a source.  Graphs that have come so far leave the
     rounds, and the tables of past rounds are deleted.
     """
-    nodes = edges.select(*group, F.explode(F.array("src", "dst")).alias("node")).distinct()
-    links = settle(edges.where("src <> dst").select(
-        *group, F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     done: list[DataFrame] = []
     while not links.isEmpty():
         total = 2 * links.count()
@@ -150,9 +176,8 @@ def star_rounds(edges: DataFrame, group: list[str], hot_rows: int = HOT_ROWS) ->
         links = after
     for part in done:
         links = links.unionByName(part)
-    root = links.select(*group, F.col("src").alias("node"), F.col("dst").alias("component"))
-    return nodes.join(root, [*group, "node"], "left").withColumn(
-        "component", F.coalesce("component", "node"))
+    roots = links.select(*group, F.col("dst").alias("node"), F.col("dst").alias("component")).distinct()
+    return links.select(*group, F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(roots)
 
 
 def connected_components(edges: DataFrame, group: list[str], small: int = SMALL_GRAPH,
