@@ -38,12 +38,18 @@ def delta_panel(spark, sf):
     return rounded(delta.delta_panel(logs, early_panel(logs)))
 
 
+def dated(spark, sf) -> Logs:
+    """Project, time and month of both logs; the technical one is joined once, what follows reads its table."""
+    tech, social = views.tech_log(spark, sf), views.social_log(spark, sf)
+    return cleaning.impute_months(Logs(settle(tech.select("project", "ts")), settle(social.select("project", "ts"))))
+
+
 @query("delta_late_rows", with_ctes(TECH, SOCIAL, TECH_MONTHS, SOCIAL_MONTHS) + """
 , nxt AS (SELECT project, CASE WHEN project = 'proj9' THEN 0 ELSE 10 + CAST(substr(project, 5) AS INTEGER) END AS n FROM (SELECT DISTINCT project FROM tech_m))
 SELECT 'tech' AS log, project, month, CAST(count(*) AS BIGINT) AS n FROM tech_m JOIN nxt USING (project) WHERE month >= nxt.n GROUP BY project, month
 UNION ALL SELECT 'social', project, month, CAST(count(*) AS BIGINT) FROM social_m JOIN nxt USING (project) WHERE month >= nxt.n GROUP BY project, month""")
 def delta_late_rows(spark, sf):
-    logs = numbered(spark, sf)
+    logs = dated(spark, sf)
     months = logs.tech.select("project").distinct().where("project <> 'proj9'").select(
         "project", (F.substr("project", F.lit(5)).cast("int") + 10).alias("next"))
     kept = delta.drop_late(logs, months)
@@ -55,7 +61,7 @@ def delta_late_rows(spark, sf):
 SELECT project, CAST(max(month) - CASE WHEN project IN ('proj1', 'proj2') THEN 12 ELSE 0 END + 1 AS INTEGER) AS months
 FROM (SELECT project, month FROM tech_m UNION ALL SELECT project, month FROM social_m) GROUP BY project""")
 def delta_length(spark, sf):
-    logs = numbered(spark, sf)
+    logs = dated(spark, sf)
     months = logs.tech.where("project IN ('proj1', 'proj2')").select("project").distinct().withColumn("next", F.lit(12))
     return delta.new_length(logs.tech, logs.social, months)
 
