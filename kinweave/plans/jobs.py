@@ -29,6 +29,7 @@ def canonical(logs: Logs) -> Logs:
 def prepare(tech: DataFrame, social: DataFrame, steps: list[str] | None = None) -> Logs:
     """Incoming logs to cleaned ones: contracts, months, message ids, replies, flags, authors."""
     logs = canonical(contracts.ensure(contracts.translate(tech, social)))
+    logs = Logs(settle(logs.tech), settle(logs.social))  # read by starts, graphs and last months
     return cleaning.process(
         logs, steps or ["files", "months", "message_ids", "replies", "sources", "bots", "names"])
 

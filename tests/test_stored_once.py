@@ -2,6 +2,7 @@
 
 import datetime
 
+from kinweave.plans import jobs
 from kinweave.queries import incremental
 
 
@@ -19,3 +20,10 @@ def test_late_rows_read_the_joined_log_from_one_table(spark, tmp_path):
     sf = logs_at(spark, tmp_path)
     out = incremental.delta_late_rows(spark, sf)
     assert out.count() > 5 and not [f for f in out.inputFiles() if "lineitem" in f or "orders" in f]
+
+
+def test_job_reads_its_request_once(spark, tmp_path):
+    sf = logs_at(spark, tmp_path)
+    logs = jobs.prepare(*incremental.incoming(spark, sf), ["files", "months", "sources", "names"])
+    files = logs.tech.inputFiles() + logs.social.inputFiles()
+    assert files and not [f for f in files if "lineitem" in f or "orders" in f]
