@@ -6,6 +6,7 @@ from kinweave.operators import datasets, scoring, trajectories, transforms
 from kinweave.queries.registry import query
 from kinweave.queries.sqlviews import MEMBERS, STATUS, with_ctes
 from kinweave.queries.transforms import COLS, ROUND, SMALL_SQL, each, rounded, small_panel
+from kinweave.session import settle
 from kinweave.sources import views
 
 
@@ -157,7 +158,7 @@ def window_features(spark, sf):
 
 
 def trained(spark, sf):
-    rows = datasets.label_projects(small_panel(spark, sf), mixed_status(spark, sf))
+    rows = settle(datasets.label_projects(small_panel(spark, sf), mixed_status(spark, sf)))  # for the fit and for what is scored
     return rows, scoring.fit(rows)
 
 

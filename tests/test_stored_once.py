@@ -3,7 +3,7 @@
 import datetime
 
 from kinweave.plans import jobs
-from kinweave.queries import incremental
+from kinweave.queries import incremental, modelling
 
 
 def logs_at(spark, folder):
@@ -27,3 +27,14 @@ def test_job_reads_its_request_once(spark, tmp_path):
     logs = jobs.prepare(*incremental.incoming(spark, sf), ["files", "months", "sources", "names"])
     files = logs.tech.inputFiles() + logs.social.inputFiles()
     assert files and not [f for f in files if "lineitem" in f or "orders" in f]
+
+
+def test_training_rows_are_made_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "panel")
+    spark.createDataFrame([(f"proj{p}", m, float(m + p), m % 2) for p in range(4) for m in range(8)],
+                          "proj_name string, month int, a double, label int").write.parquet(path)
+    monkeypatch.setattr(modelling, "small_panel", lambda spark, sf: spark.read.parquet(path))
+    monkeypatch.setattr(modelling, "mixed_status", lambda spark, sf: None)
+    monkeypatch.setattr(modelling.datasets, "label_projects", lambda rows, status: rows)
+    rows, _ = modelling.trained(spark, "")
+    assert rows.count() == 32 and path not in "".join(rows.inputFiles())
