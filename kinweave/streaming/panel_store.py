@@ -20,6 +20,8 @@ from kinweave.sources import store
 from kinweave.sources.products import SOCIAL_EDGE, TECH_EDGE
 
 SLICE = ["project", "month"]
+#: Rows of a batch that a task sorts by month and writes, about.
+WRITE_ROWS = 1_000_000
 #: Columns of the incoming rows; `kind` is tech or social, `month` the calendar month is added.
 LOG = ("kind string, project string, ts timestamp, dev string, is_bot int, file string, is_coding int, "
        "subject string, message_id string")
@@ -39,16 +41,25 @@ def as_rows(tech: DataFrame, social: DataFrame) -> DataFrame:
     return full(tech, "tech").unionByName(full(social, "social"))
 
 
+def _deal(rows: DataFrame, total: int, most: int = WRITE_ROWS) -> DataFrame:
+    """The rows month by month in tasks of about `most`, whatever a file or a month holds: a writer sorts those of its task."""
+    if total <= most:
+        return rows
+    return rows.withColumn("_at", F.monotonically_increasing_id()).repartitionByRange(-(-total // most), "month", "_at").drop("_at")
+
+
 def add_batch(batch: DataFrame, number: int, path: str) -> None:
     """Bring graphs and panel up to date with the rows of a batch; a batch without rows changes nothing."""
     spark = batch.sparkSession
     rows = batch.where("project IS NOT NULL AND ts IS NOT NULL").withColumns(
         {"month": cleaning.month_index("ts").cast("int"), "batch": F.lit(number)})
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month", "batch").parquet(f"{path}/log")
-    touched = settle(rows.groupBy(*SLICE).agg(F.lit(True).alias("_in")).select(*SLICE))
-    months = sorted(r["month"] for r in touched.select("month").distinct().collect())  # the calendar bounds them
+    touched = settle(rows.groupBy(*SLICE).agg(F.count(F.lit(1)).alias("_rows")))
+    sizes = {r["month"]: r["n"] for r in touched.groupBy("month").agg(F.sum("_rows").alias("n")).collect()}  # the calendar bounds them
+    touched, months = touched.select(*SLICE), sorted(sizes)
     if not months:
         return
+    _deal(rows, sum(sizes.values())).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "month", "batch").parquet(f"{path}/log")
     stored = spark.read.schema(LOG + ", month int, batch int").option("basePath", f"{path}/log").parquet(
         *[f"{path}/log/month={m}" for m in months])
     stored = stored.where(F.col("batch") <= number).join(touched, SLICE, "left_semi").drop("batch")
