@@ -54,8 +54,14 @@ def add_batch(batch: DataFrame, number: int, path: str, keys: list[str], finish:
     earlier = [int(x.removeprefix("batch=")) for x in _children(spark, seen) if x.startswith("batch=")]
     before = max((n for n in earlier if n < number), default=None)
     past = spark.read.parquet(f"{seen}/batch={before}").first()["day"] if before is not None else None
-    # The watermark of this batch comes from the days of those before it.
-    this = batch.agg(F.max("day").alias("day")).select(F.greatest("day", F.lit(past).cast("date")).alias("day"))
+    # The watermark of this batch comes from the days of those before it.  Its own last day is read from what is
+    # stored: asking the batch once more would run the stream's aggregation again.
+    held = [m for m in _months(spark, f"{path}/open") if f"batch={number}" in _children(spark, f"{path}/open/month={m}")]
+    if held:
+        last = spark.read.parquet(f"{path}/open/month={held[-1]}/batch={number}").agg(F.max("day").alias("day"))
+    else:
+        last = spark.range(1).select(F.lit(None).cast("date").alias("day"))
+    this = last.select(F.greatest("day", F.lit(past).cast("date")).alias("day"))
     this.write.mode("overwrite").parquet(f"{seen}/batch={number}")
     fs, _ = _system(spark, path)
     at = spark._jvm.org.apache.hadoop.fs.Path

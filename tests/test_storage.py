@@ -268,3 +268,33 @@ def test_kept_panel_equals_batch(spark, tmp_path, rows):
         graph, "project", "month", "file", "dev", "weight")
     assert panel_store.current_edges(spark, path, "social").where("project = 'q' AND src = 'd9'").count() == 1
     assert len(list((tmp_path / "k" / "panel").glob("*-*"))) <= 3
+
+
+def test_a_task_writes_few_rows_of_a_batch(spark):
+    """One file of one large month and some small ones is dealt to tasks of about so many rows, months together."""
+    rows = spark.range(0, 20_000, 1, 1).select(F.when(F.col("id") < 18_000, 7).otherwise(F.col("id") % 5).alias("month"), F.lit("same").alias("dev"))
+    dealt = panel_store._deal(rows, 20_000, 1000).withColumn("task", F.spark_partition_id())
+    tasks = dealt.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.collect_set("month").alias("months")).collect()
+    assert sum(r["n"] for r in tasks) == 20_000 and max(r["n"] for r in tasks) < 3000
+    assert len(tasks) >= 10 and sum(len(r["months"]) for r in tasks) <= len(tasks) + 6
+    assert panel_store._deal(rows, 20_000, 20_000) is rows
+
+
+def test_a_batch_is_evaluated_once(spark, tmp_path, rows):
+    """The last day of a batch is read from what is stored, not by running the stream's aggregation once more."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(n):
+        seen.add(1)
+        return n
+
+    path, keys = str(tmp_path / "m"), ["project", "day", "file", "dev"]
+    kind = "project string, day date, file string, dev string, weight long"
+    counted = F.udf(count, "long")
+    for number, day in enumerate([dt.date(2024, 1, 30), dt.date(2024, 5, 2), dt.date(2024, 5, 3)]):
+        batch = spark.createDataFrame([("p", day, "f", "d", 1), ("p", day - dt.timedelta(days=31), "f", "d", 2)], kind)
+        over = months.add_batch(batch.withColumn("weight", counted("weight")), number, path, keys, ingest.monthly_edges, 31)
+    assert seen.value == 6 and over == [2023 * 12 + 11, 2024 * 12]
+    assert spark.read.parquet(f"{path}/seen/batch=2").first()["day"] == dt.date(2024, 5, 3)
+    assert months.add_batch(spark.createDataFrame([], kind), 3, path, keys, ingest.monthly_edges, 31) == []
+    assert spark.read.parquet(f"{path}/seen/batch=3").first()["day"] == dt.date(2024, 5, 3)
