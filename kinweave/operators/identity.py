@@ -6,12 +6,15 @@ share from below: c of the a and b characters, with c known from the lengths and
 from how many first letters are equal.  In an order from rare to frequent, the
 first a - c + k and b - c + k characters of such keys share k (the k-prefix of set
 joins), so keys meet in the choices of k characters: an equi-join on (project,
-equal first letters, lengths, choice) with no name left out and no all-pairs step.
+equal first letters, choice) with no name left out and no all-pairs step.  The join
+itself counts what a pair shares, in the key and in both words of two-word names,
+from bits carried along, so that few pairs leave it.
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions import text
 from kinweave.functions.similarity import (
-    PREFIX_LENGTH, PREFIX_WEIGHT, jaro_winkler_rows, segment_compatible, segments_agree_rows, similarity,
+    BOOST_FROM, PREFIX_LENGTH, PREFIX_WEIGHT, jaro_winkler_rows, segment_compatible, segments_agree_rows, similarity,
 )
 from kinweave.operators.components import connected_components
 from kinweave.operators.peeling import refine_large
@@ -34,8 +37,10 @@ ship_functions(__name__)
 # Fixed value: letters from rare to frequent; any fixed order gives the same pairs.
 RARE_FIRST = "QXZJKVUYWIFONHEGLTPRDBCSAMzqxjkvbpygfwmucldrhsnioate "
 
-# Characters of a choice, at most, and choices of one key for a pair of lengths, about at most.
-CHOICE, CHOICES = 4, 60
+# Characters of a choice by the number of equal first letters, at most, and choices of one key, about at most.
+CHOICE, CHOICES = (5, 3, 2, 1, 1), 60
+# Uses of a letter that have a bit of their own; a pair's further uses count as shared.
+USES, WORD_USES = 3, 2
 # Names of a cluster that is refined in one task, at most.
 LARGE = 4000
 
@@ -60,15 +65,40 @@ def normalise(persons: DataFrame) -> DataFrame:
     return persons.withColumn("key", text.person_key(F.col("name")))
 
 
-def _letters(word: Column) -> Column:
+def _letters(word: str) -> list[int]:
     """The characters as distinct numbers (character, n-th use), rare ones first."""
-    chars = F.filter(F.split(word, ""), lambda c: c != "")
-    number = F.transform(
-        chars,
-        lambda c, i: (F.lit(1000) - F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)))
-        * 100 + F.instr(F.lit(RARE_FIRST), c),
-    )
-    return F.array_sort(number)
+    used: dict[str, int] = {}
+    out = []
+    for c in word:
+        used[c] = used.get(c, 0) + 1
+        out.append((1000 - used[c]) * 100 + RARE_FIRST.index(c))
+    return sorted(out)
+
+
+def _bits(letters: list[int], uses: int) -> list[int]:
+    """A word of bits for the first uses of the letters, one for the second, and so on; last the number of uses beyond."""
+    out = [0] * (uses + 1)
+    for x in letters:
+        use = 1000 - x // 100
+        if use > uses:
+            out[uses] += 1
+        else:
+            out[use - 1] |= 1 << x % 100
+    return out
+
+
+def _added(rows: DataFrame, columns: list[str], values) -> DataFrame:
+    """The rows with whole-number columns, and `choices` if named, that `values` makes of a key."""
+    kinds = [pa.list_(pa.int64()) if c == "choices" else pa.int64() for c in columns]
+
+    def add(batches):
+        for batch in batches:
+            found = [values(x) for x in batch.column("key").to_pylist()]
+            new = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *columns])
+
+    spec = [f"{c} {t}" for c, t in rows.dtypes] + [f"{c} {'array<long>' if c == 'choices' else 'long'}" for c in columns]
+    return rows.mapInArrow(add, ", ".join(spec))
 
 
 def _shared(a: int, b: int, need: float) -> int:
@@ -88,57 +118,67 @@ def length_options(lengths: list[int], equal: int, need: float) -> list[tuple[in
             if shared > a:
                 break
             rest = max(0, shared - equal)
-            k = min(rest, CHOICE)
+            k = min(rest, CHOICE[equal])
             while k > 1 and math.comb(b - equal - rest + k, k) > CHOICES:
                 k -= 1
             out.append((a, b, rest, k))
     return out
 
 
-def _choices(letters: Column, k: Column) -> Column:
-    """Hashes of all choices of k of the letters, which stand in order; one for k = 0."""
-    def after(i: Column) -> Column:
-        return F.slice(letters, i + 2, F.size(letters))
+def choice_options(options: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """(length, k, rest): for a key of this length, the least `rest` of all pairs of lengths that meet in choices of k."""
+    least: dict[tuple[int, int], int] = {}
+    for a, b, rest, k in options:
+        for length in (a, b):
+            least[length, k] = min(rest, least.get((length, k), rest))
+    return [(length, k, rest) for (length, k), rest in least.items()]
 
-    def pick(chosen: list[Column], i: Column, left: int) -> Column:
-        rest = after(i)
-        if left == 1:
-            return F.transform(rest, lambda x: F.xxhash64(*chosen, x))
-        return F.flatten(F.transform(rest, lambda x, j: pick([*chosen, x], i + 1 + j, left - 1)))
 
-    start = F.lit(-1)
-    out = F.array(F.lit(0).cast("long"))
-    for n in range(CHOICE, 0, -1):
-        out = F.when(k == n, pick([], start, n)).otherwise(out)
-    return out
+def _most_shared(name: str, uses: int) -> Column:
+    """How many letters a pair can share, from the bits of both; not fewer than it does."""
+    both = [F.bit_count(F.col(f"a.{name}{n}").bitwiseAND(F.col(f"b.{name}{n}"))) for n in range(uses)]
+    return sum(both, F.least(f"a.{name}{uses}", f"b.{name}{uses}"))
+
 
+def _word_may_agree(number: int, equal: Column) -> Column:
+    """False only for words that score below 0.8 with `equal` equal first letters, by the letters they share."""
+    score = F.greatest(1 - 0.2 / (1 - PREFIX_WEIGHT * equal), F.lit(BOOST_FROM))
+    a, b = F.col(f"a.size{number}"), F.col(f"b.size{number}")
+    return _most_shared(f"word{number}_", WORD_USES) * (a + b) >= (3 * score - 1) * a * b - 1e-6
 
-def _candidates(keys: DataFrame, equal: int, need: float, options: DataFrame) -> DataFrame:
+
+def _candidates(keys: DataFrame, equal: int, need: float, options: dict[int, list[tuple[int, int]]]) -> DataFrame:
     """Pairs with `equal` equal first letters (just so many, unless all that count) and enough shared characters."""
-    keys = keys.where(F.col("len") >= equal).select(
-        "project", "key", "len", F.left("key", F.lit(equal)).alias("head"),
-        _letters(F.substr("key", F.lit(equal + 1))).alias("letters"))
-
-    def side(length: str) -> DataFrame:
-        rows = keys.join(F.broadcast(options.where(F.col("equal") == equal)), F.col("len") == F.col(length))  # lengths only
-        width = F.size("letters")
-        lead = F.slice("letters", F.lit(1), F.greatest(width - F.col("rest") + F.col("k"), F.lit(0)))
-        return rows.select("project", "head", "la", "lb", "rest", "key", "letters", F.explode(
-            F.array_distinct(_choices(lead, F.col("k")))).alias("choice"))
-
-    a = side("la").withColumnsRenamed({"key": "a", "letters": "letters_a"})
-    b = side("lb").withColumnsRenamed({"key": "b", "letters": "letters_b"}).drop("rest")
-    joined = a.join(b, ["project", "head", "la", "lb", "choice"])
-    once = (F.col("la") < F.col("lb")) | (F.col("a") < F.col("b"))
-    more = F.lit(True) if equal == PREFIX_LENGTH else (
-        F.substr("a", F.lit(equal + 1), F.lit(1)) != F.substr("b", F.lit(equal + 1), F.lit(1))) | (F.col("la") == equal)
-    enough = F.size(F.array_intersect("letters_a", "letters_b")) >= F.col("rest")
-    return joined.where(once & more & enough).select(
-        "project", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def of(key: str) -> list:
+        letters = _letters(key[equal:])
+        # The hash of a tuple of whole numbers is the same in every process.
+        chosen = [hash(x) for k, rest in options.get(len(key), [])
+                  for x in combinations(letters[:max(len(letters) - rest + k, 0)], k)]
+        return [ord(key[equal]) if len(key) > equal else 0, *_bits(letters, USES), chosen]
+
+    names = ["next", *[f"bits{n}" for n in range(USES + 1)], "choices"]
+    rows = _added(keys.where(F.col("len") >= equal), names, of).withColumn("head", F.left("key", F.lit(equal)))
+    rows = rows.withColumn("choice", F.explode("choices")).withColumn(
+        "at", F.xxhash64("project", "head", "choice")).drop("choices", "choice")
+    a, b = rows.alias("a"), rows.alias("b")
+    la, lb = F.col("a.len"), F.col("b.len")
+    enough = _most_shared("bits", USES) + equal > F.floor(F.lit(need) * la * lb / (la + lb) - 1e-9)
+    first = F.when(F.col("a.first2") == F.col("b.first2"), F.lit(PREFIX_LENGTH)).otherwise(F.lit(0))
+    words = (F.col("a.size1") == 0) | (F.col("b.size1") == 0) | (
+        _word_may_agree(1, F.lit(equal)) & _word_may_agree(2, first))
+    met = (F.col("a.at") == F.col("b.at")) & enough & words
+    if equal < PREFIX_LENGTH:
+        met &= F.col("a.next") != F.col("b.next")
+    for c in ("head", "project"):
+        met &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    # The size that is planned with knows nothing of the choices, so a broadcast is never right here.
+    return a.join(b.hint("merge"), met & (F.col("a.key") < F.col("b.key"))).select(
+        "a.project", F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
 
 
 def candidate_pairs(persons: DataFrame, least: float = 0.9) -> DataFrame:
-    """Pairs of name keys of a project that share enough characters to score above `least`.
+    """Pairs of name keys of a project that share enough characters to score above `least`, both words of two-word
+    names enough to agree.
 
     Every pair is looked for in the case of its equal first letters, 0 to 4,
     because the score's bonus for them lowers what the rest must share.
@@ -149,13 +189,23 @@ def candidate_pairs(persons: DataFrame, least: float = 0.9) -> DataFrame:
     def need(equal: int) -> float:
         return 3 * (1 - (1 - least) / (1 - PREFIX_WEIGHT * equal)) - 1
 
-    keys = settle(
-        normalise(persons).select("project", "key").where("key <> ''").distinct().withColumn("len", F.length("key")))
+    keys = normalise(persons).select("project", "key").where("key <> ''").distinct().withColumn("len", F.length("key"))
+
+    def words_of(key: str) -> list[int]:
+        words = key.split(" ")
+        words = words if len(words) == 2 else ["", ""]
+        bits = [_bits(_letters(w), WORD_USES) for w in words]
+        return [len(words[0]), len(words[1]), ord(words[1][0]) if words[1] else 0, *bits[0], *bits[1]]
+
+    columns = ["size1", "size2", "first2", *[f"word{n}_{i}" for n in (1, 2) for i in range(WORD_USES + 1)]]
+    tasks = int(persons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = settle(_added(keys.repartition(tasks), columns, words_of))
     lengths = sorted(r["len"] for r in keys.select("len").distinct().collect())
-    table = [(p, *o) for p in range(PREFIX_LENGTH + 1) for o in length_options(lengths, p, need(p))]
-    options = keys.sparkSession.createDataFrame(table, "equal int, la int, lb int, rest int, k int")
     found = None
     for equal in range(PREFIX_LENGTH + 1):
+        options: dict[int, list[tuple[int, int]]] = {}
+        for length, k, rest in choice_options(length_options(lengths, equal, need(equal))):
+            options.setdefault(length, []).append((k, rest))
         part = _candidates(keys, equal, need(equal), options)
         found = part if found is None else found.unionByName(part)
     return found

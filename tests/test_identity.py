@@ -148,6 +148,26 @@ def test_joined_rows_stay_few(spark, same):
     assert pairs.count() < 0.01 * n * (n - 1) / 2
 
 
+def test_few_random_pairs_leave_the_join(spark):
+    """Names of one length from few letters: no more pairs are scored than share enough letters in key and words."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
+    n = 1500
+    people = [("p", f"{word(6)} {word(7)}") for _ in range(n)]
+    people += [("p", f"{name[:-1]}{'q' if i % 2 else ''}") for i, (_, name) in enumerate(people[:50])]
+    pairs = {(r["a"], r["b"]) for r in identity.candidate_pairs(spark.createDataFrame(people, "project string, name string")).collect()}
+    assert len(pairs) < 0.0004 * n * (n - 1) / 2
+    for (_, a), (_, b) in zip(people[:50], people[n:]):
+        assert (min(a, b), max(a, b)) in pairs
+
+
+def test_bits_count_what_keys_share():
+    count = lambda a, b, uses: sum((x & y).bit_count() for x, y in zip(a[:uses], b[:uses])) + min(a[uses], b[uses])
+    for a, b, shared in (("aab c", "abb c", 4), ("aaaaaa", "aaaaab", 5), ("", "a", 0), ("Zz", "zZ", 2)):
+        x, y = identity._letters(a), identity._letters(b)
+        assert len(set(x) & set(y)) == shared == count(identity._bits(x, 3), identity._bits(y, 3), 3)
+
+
 def test_universe(spark, rows):
     tech = spark.createDataFrame(
         [("p", "ann", 0, 1), ("p", "none", 0, 1), ("p", "bot", 1, 1), ("p", "doc", 0, 0), ("q", "only", 0, 1), ("p", None, 0, 1)],
