@@ -38,7 +38,7 @@ ship_functions(__name__)
 RARE_FIRST = "QXZJKVUYWIFONHEGLTPRDBCSAMzqxjkvbpygfwmucldrhsnioate "
 
 # Characters of a choice by the number of equal first letters, at most, and choices of one key, about at most.
-CHOICE, CHOICES = (5, 3, 2, 1, 1), 60
+CHOICE, CHOICES = (8, 4, 2, 1, 1), 170
 # Uses of a letter that have a bit of their own; a pair's further uses count as shared.
 USES, WORD_USES = 3, 2
 # Names of a cluster that is refined in one task, at most.
